@@ -20,5 +20,35 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(TOKENIZER)).drop("text")
 
 
-QUERIES = {"op5_bpe": op5_bpe}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from .common import scratch
+
+    return warc.archive(table(spark, sf_dir, "pages"), scratch(spark, "archives")).drop("url", "record_id")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs)).drop("text")
+
+
+QUERIES = {"op1_warc": op1_warc, "op5_bpe": op5_bpe, "op10_pii": op10_pii}
+
+#: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p
+), m AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM m
+"""
