@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,7 +35,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs)).drop("text")
 
 
-QUERIES = {"op1_warc": op1_warc, "op5_bpe": op5_bpe, "op10_pii": op10_pii}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import classifiers as C
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = C.toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return C.toxicity(docs, model).select("doc_id", C.toxicity_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import classifiers as C
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = C.quality_model(docs, table(spark, sf_dir, "labels"))
+    return C.quality(docs, model).select("doc_id", C.quality_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_warc": op1_warc, "op5_bpe": op5_bpe, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
