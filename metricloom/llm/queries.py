@@ -35,6 +35,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs)).drop("text")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = langid.label(docs.select("doc_id", "text"), langid.fit(docs), spans=False)
+    return labelled.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import classifiers as C
 
@@ -51,7 +59,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.quality(docs, model).select("doc_id", C.quality_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_warc": op1_warc, "op5_bpe": op5_bpe, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op5_bpe": op5_bpe, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
