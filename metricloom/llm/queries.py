@@ -43,6 +43,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
@@ -65,7 +71,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.quality(docs, model).select("doc_id", C.quality_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op5_bpe": op5_bpe, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
