@@ -48,6 +48,14 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once for each row, also where lambdas in ``body`` use it many times.
+
+    A column made in a projection of its own may be pasted into those lambdas by the optimizer.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def picked(df: DataFrame, by: Column, rows: int) -> DataFrame:
     """At most ``rows`` rows of ``df``: those with the smallest hash of ``by``, whatever the order of the files."""
     return df.orderBy(F.xxhash64(by), by).limit(rows)

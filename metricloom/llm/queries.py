@@ -43,6 +43,20 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules as R
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return R.judge(docs, R.weights(docs, table(spark, sf_dir, "labels"))).drop("text", "llr")
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
 
@@ -71,7 +85,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.quality(docs, model).select("doc_id", C.quality_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op2_langid": op2_langid, "op3_rules": op3_rules, "op4_winnowing": op4_winnowing, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
@@ -89,3 +103,26 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
 FROM m
 """
+
+ORACLES["op4_winnowing"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS l, array_to_string(w[j:j + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS j FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, l, j, array_to_string(w[j:j + l - 1], ' ') AS win
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS j FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)
+), h AS (
+  SELECT doc_id, j, dw.l, item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.win = bw.win
+), c AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + l)) AS p FROM h) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
