@@ -48,8 +48,13 @@ _RATE_KEYS = ["type", "id", "resolution_s", "retention_s", "agg_type"]
 _RATE_SCHEMA = "type string, id string, resolution_s bigint, retention_s bigint, agg_type string, window_nanos bigint, value double"
 
 
-def rates(rows: DataFrame, options: Options = Options(), ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Change per second of closed windows in a stream; a series' last window is state, which goes after ``ttl_ms`` without one."""
+def rates(rows: DataFrame, options: Options = Options(), ttl_ms: int | None = None) -> DataFrame:
+    """Change per second of closed windows in a stream; a series' last window is state, which goes after
+    ``ttl_ms`` without one (if set: for queries that keep running, as Spark then waits for time to pass).
+
+    ``rows`` is a stream over what a query of :func:`windowed` has written: Spark runs no state of this
+    kind behind an aggregation in the same query, and each hop has its own delay anyway.
+    """
     keep_resets = options.keep_resets
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,13 +69,16 @@ def rates(rows: DataFrame, options: Options = Options(), ttl_ms: int = 24 * 3600
             out.append(float("nan") if rate < 0 and not keep_resets else rate)
             at, before = int(now), float(value)
         state.update((at, before))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         made = pd.DataFrame([key] * len(rows), columns=_RATE_KEYS)
         made["window_nanos"], made["value"] = rows["window_nanos"].to_numpy(), out
         yield made
 
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     slim = rows.select(*_RATE_KEYS, "window_nanos", "value")
-    return slim.groupBy(*_RATE_KEYS).applyInPandasWithState(step, _RATE_SCHEMA, "at bigint, value double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    made = slim.groupBy(*_RATE_KEYS).applyInPandasWithState(step, _RATE_SCHEMA, "at bigint, value double", "append", timeout)
+    return made.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # pandas hands NaN on as null
 
 
 @dataclass
@@ -97,9 +105,9 @@ class Engine:
     def healthy(self) -> bool:
         return not self.closed and all(q.exception() is None for q in self.queries.values())
 
-    def wait(self) -> None:
-        for q in self.queries.values():
-            q.awaitTermination()
+    def wait(self, seconds: float | None = None) -> bool:
+        """Wait for the queries to end, each for so long at most; whether all have."""
+        return all([q.awaitTermination(seconds) is not False if seconds else q.awaitTermination() is None for q in self.queries.values()])
 
     def resign(self) -> None:
         """Stop emitting; the checkpoint lets another engine go on."""
