@@ -145,13 +145,14 @@ def viterbi(scores: np.ndarray, price: float) -> np.ndarray:
     """The best label of each word if each change of label costs ``price``.
 
     Most texts keep one language. That is best for sure if, against the language with the best sum,
-    no other gains more than one price over any run of words; else the full pass decides.
+    no other gains more than one price over any run of words, nor two together at the start and the
+    end; else the full pass decides.
     """
     n, k = scores.shape
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, best:best + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0), 0)
-    if (gain - low).max() <= price:
+    if (gain - low).max() <= price and max(0.0, gain.max()) + (gain[-1] - np.minimum(gain.min(0), 0)).max() <= price:
         return np.full(n, best)
     back = np.empty((n, k), np.int32)
     v = np.zeros(k)
