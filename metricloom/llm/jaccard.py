@@ -19,7 +19,6 @@ Ids of sets are 64-bit hashes of their content; equal sets are one class from th
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +35,7 @@ from .components import components
 SHINGLE_WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 20
-BLOCK = 160  # sets of a cell in a block; larger cells are verified as pairs of blocks
+BLOCK = 512  # sets of a cell in a block; larger cells are verified as pairs of blocks
 SLACK = 1.4  # how many segments with content the largest sets of a band should have, against those needed
 SEEN = 100_000
 
@@ -338,7 +337,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents of ``docs`` that stay: of each group in ``found`` (from :func:`groups`) the one with the smallest id.
 
-    Documents without words stay all; of rows that repeat an id, one stays.
+    Documents without words stay all; of rows that repeat an id and a text, one stays.
     """
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stays.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(stays.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
