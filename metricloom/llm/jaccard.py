@@ -10,8 +10,11 @@ dissimilar texts agree are left out. Where a set has too few segments with conte
 is indexed with all its segments and their one-deletion neighbourhoods, and, where these don't reach
 the bound either, with its single shingles.
 
-Texts that share a signature meet in the cell of the smallest id among them; a cell is verified
-exactly in blocks of a bounded size and yields a spanning forest of its links, not all pairs.
+Texts that share a signature meet in the cell of the smallest id among them, in blocks of a bounded
+size. First only their histograms meet there: how many shingles a set has in each of some equal ranges
+of hashes. Two sets differ in at least as many shingles as their histograms do, so sets that have no
+partner close enough by size and histogram drop out. The shingles of the others are then compared
+exactly; a block yields a spanning forest of its links, not all pairs.
 
 Ids of sets are 64-bit hashes of their content; equal sets are one class from the start.
 """
@@ -123,35 +126,68 @@ def allocate(u: np.ndarray, sketch: np.ndarray, percent: int = PERCENT) -> np.nd
     return np.unique(np.concatenate(out))
 
 
+def histogram(u: np.ndarray) -> np.ndarray:
+    """How many shingles are in each of the equal ranges of hashes, of which a set has a quarter to an eighth of its size."""
+    bits = max(2, len(u).bit_length() - 3)
+    return np.minimum(np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def possible(sizes: np.ndarray, parts: np.ndarray, shapes: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """Which sets have a partner (of the other part, if there are two) that size and histogram do not rule out."""
+    keep = np.zeros(len(sizes), bool)
+    across = len(set(parts.tolist())) > 1
+    width = np.array([len(s) for s in shapes])
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        x = np.frombuffer(b"".join([shapes[i] for i in own]), np.uint8).reshape(len(own), w).astype(np.int32)
+        finer = np.flatnonzero(width == 2 * w)
+        y = np.frombuffer(b"".join([shapes[i] for i in finer]), np.uint8).reshape(len(finer), w, 2).sum(2, dtype=np.int32)
+        other, z = np.concatenate([own, finer]), np.concatenate([x, np.minimum(y, 255)])
+        for k, i in enumerate(own):
+            a, b = int(sizes[i]), sizes[other]
+            bound = (a + b) * (100 - percent) // (100 + percent)
+            near = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (other != i)
+            if across:
+                near &= parts[other] != parts[i]
+            at = np.flatnonzero(near)
+            # a full count stands for any larger one, so it never adds to the difference
+            close = at[np.abs(z[at] - x[k]).sum(1) <= bound[at]]
+            if len(close):
+                keep[i] = True
+                keep[other[close]] = True
+    return keep
+
+
 def _docs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
 
 
 def describe(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """For each document key, doc_id, n (size of its set), sid (id of the set; null if empty), and rows of
+    """For each document key, doc_id, n (size of its set), sid (id of the set; null if empty), shape (its histogram), and rows of
     the signature sketch (bucket, n): signatures that several sets of one batch have."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bucket", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bucket", pa.int32()), ("shape", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid, found, seen = [], [], [], set()
+            n, sid, shape, found, seen = [], [], [], [], set()
             for _, _, data, offsets in K.chunks(batch.column(2)):
                 for u in shingle_sets(data, offsets, size):
                     n.append(len(u))
                     sid.append(set_id(u) if len(u) else None)
+                    shape.append(histogram(u).tobytes() if len(u) else None)
                     if len(u) and sid[-1] not in seen:
                         seen.add(sid[-1])
                         found.append(all_signatures(u, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(len(n), pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(len(n), pa.int32()), pa.array(shape, pa.binary())], schema=schema)
             if found:
                 value, count = np.unique(np.concatenate(found), return_counts=True)
                 often = count > 1
                 bucket, place = np.unique((value[often] >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_inverse=True)
                 total = np.bincount(place, count[often]).astype(np.int64) if len(bucket) else np.zeros(0, np.int64)
                 none = pa.nulls(len(bucket), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(total), none, pa.array(bucket)], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(total), none, pa.array(bucket), pa.nulls(len(bucket), pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, n bigint, sid bigint, bucket int")
+    return docs.mapInArrow(run, "key bigint, doc_id bigint, n bigint, sid bigint, bucket int, shape binary")
 
 
 def signature_rows(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -225,8 +261,64 @@ def forest(ids: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i]
 
 
+def block_rows(members: DataFrame) -> DataFrame:
+    """From (cell, blocks, sid, key, n, shape): a row (cell, part, sid, key, n, shape) for each cell, or pair of its blocks, that a set is in."""
+    schema = pa.schema([("cell", pa.int64()), ("part", pa.int32()), ("sid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("shape", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, blocks, sid = (batch.column(i).to_numpy() for i in range(3))
+            own = (K.mix(sid.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            row = np.repeat(np.arange(len(cell)), blocks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            names = np.stack([cell[row], np.minimum(own[row], other), np.maximum(own[row], other)], 1).view(np.uint64)
+            one = K.mix(K.mix(K.mix(names[:, 0]) + names[:, 1]) + names[:, 2]).view(np.int64)
+            for lo in range(0, len(row), 10_000):
+                r = pa.array(row[lo:lo + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(one[lo:lo + 10_000]), pa.array(own[row[lo:lo + 10_000]], pa.int32()), *[batch.column(i).take(r) for i in (2, 3, 4, 5)]], schema=schema)
+
+    return members.select("cell", "blocks", "sid", "key", "n", "shape").mapInArrow(run, "cell bigint, part int, sid bigint, key bigint, n bigint, shape binary")
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each cell (the first column), where cells stand together."""
+    rows: list[tuple] = []
+    for batch in batches:
+        cell = batch.column(0).to_numpy()
+        columns = [c.to_pylist() for c in batch.columns]
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if rows and a < b and rows[0][0] != cell[a]:
+                yield rows
+                rows = []
+            rows += zip(*[c[a:b] for c in columns], strict=True)
+    if rows:
+        yield rows
+
+
+def promising(blocks: DataFrame, percent: int) -> DataFrame:
+    """(key, cell, part) of the sets that histograms leave a partner in a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+        for rows in by_cell(batches):
+            rows = list({r[2]: r for r in rows}.values())
+            if len(rows) > 1:
+                keep = possible(np.array([r[4] for r in rows]), np.array([r[1] for r in rows]), [r[5] for r in rows], percent)
+                out += [(r[3], r[0], r[1]) for r, k in zip(rows, keep.tolist(), strict=True) if k]
+            if len(out) > 10_000:
+                yield _named(out)
+                out = []
+        yield _named(out)
+
+    def _named(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["key", "cell", "part"])
+
+    return blocks.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, "key bigint, cell bigint, part int")
+
+
 def cell_rows(members: DataFrame, size: int) -> DataFrame:
-    """From (text, cells: array of (cell, blocks)): a row (cell, part, sid, content) for each cell, or pair of its blocks."""
+    """From (text, cells: array of (cell, part)): a row (cell, part, sid, content) for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +327,7 @@ def cell_rows(members: DataFrame, size: int) -> DataFrame:
                 rows: list[tuple[int, int, int, bytes]] = []
                 for i, u in enumerate(shingle_sets(data, offsets, size)):
                     sid, content = set_id(u), u.tobytes()
-                    for c in cells[lo + i].as_py():
-                        k = c["blocks"]
-                        own = int(K.mix(np.array([sid], np.int64).view(np.uint64))[0] % np.uint64(k))
-                        for other in range(k):
-                            name = np.array([c["cell"], min(own, other), max(own, other)], np.int64).view(np.uint64)
-                            rows.append((int(K.gram_hashes(name, 3).view(np.int64)[0]), own, sid, content))
+                    rows += [(c["cell"], c["part"], sid, content) for c in cells[lo + i].as_py()]
                     if len(rows) > 2000:
                         yield _cells(rows)
                         rows = []
@@ -258,9 +345,9 @@ def _cells(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 def cell_links(cells: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links in each cell, whose rows stand together."""
 
-    def verify(rows: list[tuple[int, dict[int, bytes]]]) -> list[tuple[int, int]]:
+    def verify(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
         parts: dict[int, dict[int, bytes]] = {}
-        for part, sid, content in rows:
+        for _, part, sid, content in rows:
             parts.setdefault(part, {})[sid] = content
         if sum(map(len, parts.values())) < 2:
             return []
@@ -271,20 +358,13 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
         return forest(ids[0] + ids[1], [(i, len(ids[0]) + j) for i, j in similar(sets[0], sets[1], percent)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            cell = batch.column(0).to_numpy()
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
-            part, sid, content = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if a < b:
-                    if cell[a] != now:
-                        out += verify(rows)
-                        now, rows = cell[a], []
-                    rows += zip(part[a:b], sid[a:b], content[a:b], strict=True)
-            yield _edges(out)
-        yield _edges(verify(rows))
+        out: list[tuple[int, int]] = []
+        for rows in by_cell(batches):
+            out += verify(rows)
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
 
     return cells.mapInArrow(run, "a bigint, b bigint")
 
@@ -309,7 +389,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     often = described.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SKETCH_BITS rows
     sketch[often["bucket"].to_numpy(np.int64)] = np.minimum(often["n"].to_numpy(np.int64), 2**31 - 1)
     own = described.where("bucket IS NULL").select("key", "doc_id", "n", "sid")
-    classes = stash(own.where("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id")), "classes")
+    classes = stash(described.where("bucket IS NULL").where("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("shape").alias("shape")), "classes")
 
     by_signature = Window.partitionBy("sig").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = (
@@ -319,8 +399,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     )
     met = stash(met, "met")
     sizes = met.groupBy("cell").agg(F.ceil((F.count(F.lit(1)) + 1) / BLOCK).cast("int").alias("blocks"))
-    members = stash(met.union(met.select("cell", "cell").distinct()).join(sizes, "cell").select("sid", "cell", "blocks"), "members")
-    wanted = members.join(classes.select("sid", "key"), "sid").groupBy("key").agg(F.collect_list(F.struct("cell", "blocks")).alias("cells"))
+    members = met.union(met.select("cell", "cell").distinct()).join(sizes, "cell").select("sid", "cell", "blocks")
+    left = stash(promising(block_rows(members.join(classes.select("sid", "key", "n", "shape"), "sid")), percent), "promising")
+    wanted = left.groupBy("key").agg(F.collect_list(F.struct("cell", "part")).alias("cells"))
     cells = cell_rows(slim.join(wanted, "key").select("text", "cells"), size)
     links = cell_links(cells.repartition(F.col("cell")).sortWithinPartitions("cell"), percent)
     labels = components(links)
