@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from . import linear
 from .common import crc_mod, labelled_sample
 
-#: Labelled rows that a model is fitted on, at most. More rows do not change it much: held-out
+#: Labelled rows that the models are fitted on, at most. More rows do not change it much: held-out
 #: accuracy is level from a few thousand on.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS, QUALITY_ROWS = 6000, 4000
 TOXIC_AT, QUALITY_AT = 0.5, 0.7
 
 
@@ -33,7 +33,7 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_R
     return linear.train_logistic("toxicity", labelled_sample(documents, labels, "toxic", ~toxicity_held_out(F.col("doc_id")), rows))
 
 
-def quality_model(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> linear.Model:
+def quality_model(documents: DataFrame, labels: DataFrame, rows: int = QUALITY_ROWS) -> linear.Model:
     """Naive Bayes support vector model of ``labels.quality``, without the held-out ids."""
     return linear.train_svm("quality", labelled_sample(documents, labels, "quality", ~quality_held_out(F.col("doc_id")), rows))
 

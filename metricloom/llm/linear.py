@@ -21,7 +21,7 @@ BITS = 19
 SMOOTHING = 1.0
 MIN_ROWS = 4
 MIN_Z = 3.0
-MAX_FEATURES = 60_000
+MAX_FEATURES = 20_000
 
 #: Kinds of words for n-grams over word classes.
 LOWER_CASE, CAPITAL, UPPER_CASE, NUMBER, MARKS, SYMBOLS, REPEATED, OTHER = range(1, 9)
@@ -154,10 +154,10 @@ def _prepare(kind: str, sample: list[tuple[str, int]]):
     chosen = np.flatnonzero(keep)
     if not len(chosen):
         return None
-    new = np.full(1 << BITS, -1)
+    new = np.full(1 << BITS, -1, np.int32)
     new[chosen] = np.arange(len(chosen))
-    got = [(row + lo, new[feature]) for lo, _, row, feature in indicators(kind, texts, keep)]
-    return label, np.concatenate([r for r, _ in got]), np.concatenate([c for _, c in got]), chosen, ratio[chosen]
+    got = [((row + lo).astype(np.int32), new[feature]) for lo, _, row, feature in indicators(kind, texts, keep)]  # by row
+    return label, np.concatenate([r for r, _ in got]), np.concatenate([c for _, c in got]), chosen, ratio[chosen].astype(np.float32)
 
 
 def _constant(kind: str, sample: list[tuple[str, int]]) -> Model:
@@ -192,14 +192,15 @@ def train_logistic(kind: str, sample: list[tuple[str, int]], decay: float = 3e-4
     return _model(kind, w, b, chosen, ratio)
 
 
-def dual_coordinate_descent(indptr: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, d: int, cost: float, rounds: int) -> np.ndarray:
-    """Weights (the bias last) of the linear machine with hinge loss: one dual variable after the other."""
+def dual_coordinate_descent(indptr: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, d: int, cost: float, rounds: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the bias last) of the linear machine with hinge loss on ``rows``: one dual variable after the other."""
     w, alpha = np.zeros(d + 1), np.zeros(len(y))
-    square = np.add.reduceat(np.append(value**2, 0), indptr[:-1]) * (np.diff(indptr) > 0) + 1
+    square = np.add.reduceat(np.append(value**2, 0), indptr[:-1]).astype(float) * (np.diff(indptr) > 0) + 1
     order = np.random.Generator(np.random.PCG64(1))
+    rows = np.arange(len(y)) if rows is None else rows
     for _ in range(rounds):
         worst = 0.0
-        for i in order.permutation(len(y)):
+        for i in order.permutation(rows):
             s = slice(indptr[i], indptr[i + 1])
             c, x = col[s], value[s]
             g = y[i] * (x @ w[c] + w[d]) - 1
@@ -220,17 +221,12 @@ def train_svm(kind: str, sample: list[tuple[str, int]], cost: float = 0.02, roun
     if got is None:
         return _constant(kind, sample)
     label, row, col, chosen, ratio = got
-    order = np.argsort(row, kind="stable")
-    row, col = row[order], col[order]
     value = ratio[col]
     indptr = np.searchsorted(row, np.arange(len(label) + 1))
     y = np.where(label == 1, 1.0, -1.0)
     fold = np.arange(len(y)) % 5 == 4
     inner = np.flatnonzero(~fold)
-    parts = [np.arange(indptr[i], indptr[i + 1]) for i in inner]
-    flat = np.concatenate(parts) if parts else np.zeros(0, int)
-    ptr = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    w = dual_coordinate_descent(ptr, col[flat], value[flat], y[inner], len(chosen), cost, rounds)
+    w = dual_coordinate_descent(indptr, col, value, y, len(chosen), cost, rounds, inner)
     margin = np.bincount(row, value * w[col], len(label)) + w[-1]
     slope, shift = _sigmoid(margin[fold], label[fold]) if len(set(label[fold])) == 2 else (1.0, 0.0)
     w = dual_coordinate_descent(indptr, col, value, y, len(chosen), cost, rounds)
