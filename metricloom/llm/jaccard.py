@@ -402,7 +402,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     members = met.union(met.select("cell", "cell").distinct()).join(sizes, "cell").select("sid", "cell", "blocks")
     left = stash(promising(block_rows(members.join(classes.select("sid", "key", "n", "shape"), "sid")), percent), "promising")
     wanted = left.groupBy("key").agg(F.collect_list(F.struct("cell", "part")).alias("cells"))
-    cells = cell_rows(slim.join(wanted, "key").select("text", "cells"), size)
+    # a merge join at every size: the side without texts grows with the documents
+    cells = cell_rows(slim.join(wanted.hint("merge"), "key").select("text", "cells"), size)
     links = cell_links(cells.repartition(F.col("cell")).sortWithinPartitions("cell"), percent)
     labels = components(links)
 
