@@ -1,10 +1,9 @@
 """Quality rules in DataFrame functions only: counts of each text, and a likelihood-ratio verdict.
 
 Words and pairs of words are hashed into a fixed number of buckets. Over all documents a multinomial
-of the raw corpus is counted, and over trusted ones (a bounded sample of documents labelled good) the
-target's. A text's score is the log-likelihood ratio of the two, divided by the number of its n-grams;
-one threshold decides on every document. No text is shuffled: counts are aggregated by bucket before
-they move, and what scoring needs is one array of a fixed size.
+of the raw corpus is counted, and over all trusted ones (those labelled good) the target's. A text's score is the log-likelihood ratio of the two, divided by the number of its n-grams;
+one threshold decides on every document. Texts are shuffled once, to meet the ids labelled good; counts
+are aggregated by bucket before they move, and what scoring needs is one array of a fixed size.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; without
 trusted documents the ratio is that of the smoothed target and still the same for every run; ties at
@@ -16,10 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, picked, stash
+from .common import let, stash
 
 BUCKETS = 16384
-TRUSTED_ROWS = 20_000
 SMOOTHING = 1.0
 THRESHOLD = -0.03
 MIN_WORDS = 50
@@ -55,16 +53,21 @@ def repeat_words(w: Column) -> Column:
         let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), twice)))
 
 
-def weights(documents: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """One row: ``weights``, the log ratio of each bucket, from counts over all documents."""
+def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: ``weights``, the log ratio of each bucket, from counts over all documents and all that are labelled good."""
     spark = documents.sparkSession
-    trusted = picked(labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct(), F.col("doc_id"), trusted_rows)
-    flagged = documents.select("doc_id", "text").join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
-    counts = (
-        flagged.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(let(words(F.col("text")), grams)).alias("bucket"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
+    texts = documents.select("doc_id", "text")
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    # a shuffled join at every size: the ids labelled good grow with the documents
+    good = texts.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return stash(rows.select(F.explode(let(words(F.col("text")), grams)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name)), name)
+
+    every = (
+        spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+        .join(counts(texts, "raw"), "bucket", "left").join(counts(good, "target"), "bucket", "left")
     )
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(stash(counts, "buckets"), "bucket", "left")
     filled = every.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     one = filled.agg(
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))

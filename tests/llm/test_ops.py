@@ -132,6 +132,30 @@ def test_quality_rules(docs, spark, none):
     assert quality_rules.judge(none, quality_rules.weights(none, labels)).count() == 0
 
 
+def test_quality_rules_count_every_trusted_document(spark):
+    """The target has all documents labelled good, more than any fixed number of them; repeated rows count each."""
+    n = 20_100
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    df = rows.union(rows.where("doc_id < 50")).union(spark.createDataFrame([(n, "w1"), (None, "w2")], "doc_id bigint, text string"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    # one word each: a text's ratio is the weight of its word's bucket
+    bucket = [xxhash.xxh64_intdigest(f"w{k}".encode(), 42) & quality_rules.BUCKETS - 1 for k in range(7)]
+    target = Counter(bucket[i % 7] for i in [*range(n), *range(50)])
+    raw = target + Counter([bucket[1], bucket[2]])
+    size = quality_rules.BUCKETS
+    got = quality_rules.judge(df.where("doc_id < 7").dropDuplicates(["doc_id"]), quality_rules.weights(df, labels)).collect()
+    assert len(got) == 7
+    for r in got:
+        b = bucket[r.doc_id]
+        want = math.log((target[b] + 1) / (sum(target.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size))
+        assert r.llr == pytest.approx(want, abs=1e-12)
+
+
 def test_pii(docs, spark, none):
     rng = random.Random(1)
     odd = ["".join(rng.choice("0123456789+@..-- ()abc%é") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
