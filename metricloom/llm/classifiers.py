@@ -16,7 +16,7 @@ from .common import crc_mod, labelled_sample
 
 #: Labelled rows that the models are fitted on, at most. More rows do not change it much: held-out
 #: accuracy is level from a few thousand on.
-SAMPLE_ROWS, QUALITY_ROWS = 6000, 4000
+SAMPLE_ROWS = QUALITY_ROWS = 6000
 TOXIC_AT, QUALITY_AT = 0.5, 0.7
 
 

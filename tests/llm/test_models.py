@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from metricloom.llm import classifiers, components, jaccard, kernels, langid, linear
 
@@ -103,3 +104,22 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys([*range(21), 100], 0), 200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_more_than_twenty_thousand_features_count():
+    """Every n-gram that tells the classes apart is a feature, beyond 20,000 too."""
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    n = 15_000
+    ones, zeros = ("".join(r.choice(x) for _ in range(n)) for x in (letters, letters.upper()))
+    # 30 whole texts and 30 prefixes of growing length, so that few n-grams are equally telling
+    sample = [(t[:n * min(i, 30) // 30], y) for i in range(1, 61) for t, y in ((ones, 1), (zeros, 0))]
+    _, keep = linear.log_count_ratios("quality", pa.array([t for t, _ in sample], pa.large_string()), np.array([y for _, y in sample]))
+    assert keep.sum() > 30_000
+
+
+def test_quality_is_learned_from_six_thousand_rows(spark, monkeypatch):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(linear, "train_svm", lambda kind, sample: len(sample))
+    assert classifiers.quality_model(docs, labels) == 6000
