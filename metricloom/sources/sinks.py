@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.sharding import shard
@@ -22,14 +22,29 @@ def blackhole() -> Sink:
     return lambda df, _: df.write.format("noop").mode("overwrite").save()
 
 
-def logging_sink(rows: int = 20) -> Sink:
+def logging_sink(rows: int | None = None) -> Sink:
+    """Every row goes to the log of the executor that holds it; with ``rows``, a look at so many rows goes to the driver's."""
+
     def write(df: DataFrame, batch: int) -> None:
-        for row in df.limit(rows).collect():  # a look at a few rows, not the data
-            log.info("batch %s: %s", batch, row)
+        if rows is not None:
+            for row in df.limit(rows).collect():
+                log.info("batch %s: %s", batch, row)
+            return
+        df.foreachPartition(lambda part: _log_rows(part, batch))
 
     return write
 
 
+def _log_rows(part: Iterable[Row], batch: int) -> None:
+    """On an executor: Python workers start without logging set up, so what is below a warning would be lost."""
+    if not logging.getLogger().handlers:
+        logging.basicConfig(format="%(asctime)s %(levelname)s %(name)s: %(message)s")
+    if not log.isEnabledFor(logging.INFO):
+        log.setLevel(logging.INFO)
+    for row in part:
+        log.info("batch %s: %s", batch, row)
+
+
 def with_shard(df: DataFrame, shards: int) -> DataFrame:
     return df.withColumn("shard", shard(F.col("metric_id"), shards))
 

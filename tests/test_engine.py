@@ -144,3 +144,22 @@ def test_sinks(spark, tmp_path):
     for bad in ({"type": "x"}, {"type": "forward"}, {"type": "forward", "static": {}, "dynamic": {}}, {"type": "forward", "static": {"path": "a", "shards": []}}, {"type": "forward", "static": {"total_shards": 3, "shards": [{"set": "0..1", "path": "a"}]}}):
         with pytest.raises(sinks.SinkConfigError):
             sinks.from_config(bad)
+
+
+def test_logging_sink_logs_every_row(spark, tmp_path, monkeypatch, caplog):
+    rows = [sinks.Row(id=i) for i in range(50)]
+    with caplog.at_level("INFO"):
+        sinks._log_rows(iter(rows), 3)
+    assert [r.getMessage() for r in caplog.records] == [f"batch 3: {r}" for r in rows]
+
+    out = str(tmp_path)
+
+    def to_file(part, batch):
+        import uuid
+
+        with open(f"{out}/{uuid.uuid4().hex}", "w") as f:
+            f.writelines(f"{batch} {r.id}\n" for r in part)
+
+    monkeypatch.setattr(sinks, "_log_rows", to_file)
+    sinks.from_config({"type": "logging"})(spark.range(50).repartition(3), 3)
+    assert sorted(x for f in tmp_path.iterdir() for x in f.read_text().splitlines()) == sorted(f"3 {i}" for i in range(50))
