@@ -8,8 +8,9 @@ left joins the benchmark's windows on fingerprint and content, and hits are exte
 that matching windows cover. Items of fewer than 13 words are one window with their own fingerprint.
 
 Defined results: a text that is null or without words has no words, no hits and is not
-contaminated; an item without words matches nothing; items with equal windows all count; repeated
-rows get equal results, one for each; an empty benchmark finds nothing.
+contaminated; an item without words matches nothing; items with equal windows all count; items
+without an id count like others, together as one in n_items, and are left out of items_sha256;
+repeated rows get equal results, one for each; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -56,15 +57,15 @@ def short_fingerprint(n: Column, text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """len, fp, win, items: each distinct window with the items (as strings) that have it."""
-    split = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("item IS NOT NULL AND size(w) > 0")
+    """len, fp, win, items, nameless: each distinct window with the items (as strings) that have it, and whether one without an id does."""
+    split = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     hashed = split.withColumn("h", gram_hashes(F.col("w")))
     whole = F.array_join("w", " ")
     windows = F.when(
         F.size("w") >= WINDOW,
         F.transform(_until(F.size("w") - WINDOW), lambda j: F.struct(F.lit(WINDOW).alias("len"), fingerprint(F.col("h"), j).alias("fp"), _text(F.col("w"), j, WINDOW).alias("win"))),
     ).otherwise(F.array(F.struct(F.size("w").alias("len"), short_fingerprint(F.size("w"), whole).alias("fp"), whole.alias("win"))))
-    return hashed.select("item", F.explode(windows).alias("x")).groupBy("x.len", "x.fp", "x.win").agg(F.collect_set("item").alias("items"))
+    return hashed.select("item", F.explode(windows).alias("x")).groupBy("x.len", "x.fp", "x.win").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull().cast("int")).alias("nameless"))
 
 
 def bitmap(windows: DataFrame) -> DataFrame:
@@ -120,10 +121,11 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sum(F.col("first").cast("int")).alias("copies"),
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("j", "len"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.coalesce(F.max("nameless"), F.lit(0)).alias("nameless"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["j"], s["j"] + s["len"] - 1)))))
     counted = grouped.select(
-        "doc_id", "key", F.col("n").cast("bigint").alias("n_words"), covered.cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "key", F.col("n").cast("bigint").alias("n_words"), covered.cast("bigint").alias("n_hit"), (F.size("items") + F.col("nameless")).cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "copies")
     result = counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     return result.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")

@@ -87,6 +87,23 @@ def test_keep_one(docs):
     assert kept == sorted(d for d, c in comp.items() if d is not None and d == c)
 
 
+def test_decontaminate_items_without_id(docs, spark):
+    """Against the registered SQL: their passages are hits."""
+    duckdb = pytest.importorskip("duckdb")
+    from metricloom.llm.queries import ORACLES
+
+    texts = some_texts()
+    rows = [(i, t) for i, t in enumerate(texts)]
+    items = [(None, " ".join(texts[4].split()[70:120])), (None, texts[23]), (5, texts[23]), (None, "One"), (7, " ".join(texts[0].split()[:13]))]
+    got = decontaminate.hits(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    db = duckdb.connect()
+    for name, key, data in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        db.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?)", data)
+    same(got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect(), db.execute(ORACLES["op4_winnowing"]).fetchall())
+    assert got.where("doc_id = 4 AND n_hit >= 50").count() == 1
+
+
 def test_decontaminate(docs, spark, none):
     rows, df = docs
     texts = [t for _, t in rows]
