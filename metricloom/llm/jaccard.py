@@ -373,8 +373,9 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``; if ``keyed`` also key (of id and text) and
+    group, one number for each component of texts with words (null: without words).
 
     A document's set has its distinct shingles of ``size`` words (A-Z lower-cased); two documents link
     if their sets' Jaccard similarity is ``percent`` / 100 or more; component_id is the smallest doc_id
@@ -409,17 +410,25 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 
     linked = labels.join(classes, labels["node"] == classes["sid"]).select("sid", "component", "doc_id")
     smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = linked.select("sid", "component").join(smallest, "component").select("sid", "component_id")
+    known = linked.select("sid", "component").join(smallest, "component").select("sid", "component", "component_id")
     final = stash(
-        classes.select("sid", "doc_id").join(known, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+        classes.select("sid", "doc_id").join(known, "sid", "left")
+        .select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "sid").alias("group")), "components")
     return own.join(final, "sid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *(["key", "group"] if keyed else []))
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that stay: of each group in ``found`` (from :func:`groups`) the one with the smallest id.
+    """The documents of ``docs`` that stay: of each group in ``found`` (from :func:`groups`, keyed) the row with the smallest id and key.
 
-    Documents without words stay all; of rows that repeat an id and a text, one stays.
+    Null ids come last. Documents without words stay all. Groups that are not keyed are told apart by
+    ids alone, which is enough where ids are distinct and not null.
     """
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stays.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    if "key" not in found.columns:
+        stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+        return docs.join(stays.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("x")).select(F.col("x.key").alias("kept_key"))
+    wordless = found.where("group IS NULL").select(F.col("key").alias("kept_key")).distinct()
+    kept = lambda keys: docs.join(keys, row_key(F.col("doc_id"), F.col("text")) == F.col("kept_key"), "left_semi")
+    return kept(first).dropDuplicates(["doc_id", "text"]).union(kept(wordless))

@@ -87,6 +87,19 @@ def test_keep_one(docs):
     assert kept == sorted(d for d, c in comp.items() if d is not None and d == c)
 
 
+def test_keep_one_row_of_a_group_with_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:59] + ["x"])
+    base = " ".join(base)
+    other = "some other words stand in here"
+    alone = "nothing is like this text at all"
+    rows = [(1, base), (None, near), (None, alone), (None, other), (None, other + " "), (2, alone + " but"), (2, near), (3, ""), (3, ""), (None, None), (1, base)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in jaccard.keep_one(df, jaccard.groups(df, keyed=True)).collect()]
+    assert len([t for _, t in got if t in (other, other + " ")]) == 1  # a group whose ids are all null
+    same([r for r in got if r[1] not in (other, other + " ")], [(1, base), (None, alone), (2, alone + " but"), (3, ""), (3, ""), (None, None)])
+
+
 def test_decontaminate_items_without_id(docs, spark):
     """Against the registered SQL: their passages are hits."""
     duckdb = pytest.importorskip("duckdb")
