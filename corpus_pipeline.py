@@ -60,7 +60,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL cannot express the trained stages; tests/llm holds the pipeline against a brute-force version.
+#: SQL cannot express the trained stages. tests/llm holds operators against brute force; no test runs the pipeline.
 ORACLE_SQL = None
 
 
