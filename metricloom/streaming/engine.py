@@ -1,4 +1,7 @@
-"""Streaming: windows closed by watermark, derivatives and metadata by keyed state, and the engine around them."""
+"""Streaming: windows closed by watermark, derivatives by keyed state, and the engine around them.
+
+Metadata versions and the limits of values and new series (``operators.admission``) run in batch only.
+"""
 
 from __future__ import annotations
 
