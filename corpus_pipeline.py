@@ -44,12 +44,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang and source, the ids of the text (decimals joined by commas), their number, and the digest of the ids decoded."""
-    path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    decoded = bpe.decode(encoded, path)
-    n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    return decoded.select("doc_id", "lang", "source", "ids", n.cast("bigint").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, lang and source, the ids of the text (decimals joined by commas), their number and digest, and the digest of the ids decoded.
+
+    A null text has no ids. Ids are made and decoded in one pass, and the text itself does not travel back.
+    """
+    return bpe.digests(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(TOKENIZER), ids="ids", with_text=False)
 
 
 STAGES = [

@@ -7,7 +7,14 @@ merge that crosses their border would have come first. The encoding follows the
 The work is linear in the length of a piece, also for pieces of many thousand characters.
 
 The tokenizer file is read on the driver and its content (a few MB, whatever the corpus) is sent to
-the executors, which need no copy of their own.
+the executors, which need no copy of their own. Results of short runs of text are kept in caches whose
+bytes are bounded; runs of ``KEPT_CHARS`` characters or more are never kept.
+
+Defined results: a null or empty text has no ids, and no ids stand for the empty text; very long texts
+and very long pieces (without any white space) are encoded whole, in time linear in their length;
+repeated rows get equal results, one for each; there are no ties, as each prefix has one last token;
+an empty table gives an empty result; columns that have the name of a new one are replaced, all others
+stay.
 """
 
 from __future__ import annotations
@@ -22,9 +29,31 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Fixed value: how byte-level BPE splits text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 250_000
+KEPT_CHARS = 100
+KEPT_BYTES = 24 << 20  # of each generation of each cache; there are two caches of two generations
+KEPT_PAIRS = 150_000
+_ENTRY = 260  # bytes of an entry beside its characters
+
+
+class Kept:
+    """Results of short strings. What is full becomes the old generation, which goes when the next is full."""
+
+    def __init__(self, limit: int = KEPT_BYTES) -> None:
+        self.new: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.size, self.limit = 0, limit
+
+    def add(self, key: str, value: str) -> None:
+        if len(key) >= KEPT_CHARS:
+            return
+        self.size += _ENTRY + 2 * len(key) + len(value)
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new[key] = value
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,11 +99,7 @@ class ByteBpe:
         self.content |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(PIECES).findall
-        self.pieces: dict[str, tuple[str, bytes]] = {}
-        self.units: dict[str, tuple[str, bytes]] = {}
-        #: what the two hold when they are full: kept until they are full again
-        self.old_pieces: dict[str, tuple[str, bytes]] = {}
-        self.old_units: dict[str, tuple[str, bytes]] = {}
+        self.pieces, self.units = Kept(), Kept()
         self.by_decimal = {str(i): b for i, b in self.content.items()}
 
     def compatible(self, left: int, right: int) -> bool:
@@ -83,7 +108,7 @@ class ByteBpe:
         Goes back through the merges that made them, the latest first. A merge over the border that
         comes before the merge looked at would have taken its parts away.
         """
-        if len(self.pairs) > CACHE_ENTRIES:
+        if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
         rank, parts, joined = self.rank, self.parts, self.joined
         a, b, fine = left, right, True
@@ -134,88 +159,86 @@ class ByteBpe:
         out.reverse()
         return out
 
-    def _units(self, text: str) -> list[tuple[str, bytes]]:
-        """(ids, decoded bytes) of units of a text, in order.
+    def _units(self, text: str) -> list[str]:
+        """Ids of units of a text, in order.
 
         A unit is what is between two spaces, with the space before it: the split pattern never looks
         past such a unit if it neither is empty nor starts or ends with white space. Other texts are
-        split by the pattern as a whole. Units repeat, so both results are kept.
+        split by the pattern as a whole. Units repeat, so their ids are kept.
         """
-        if len(self.units) > CACHE_ENTRIES:
-            self.units, self.old_units = {}, self.units
-        units, old = self.units, self.old_units
+        kept = self.units
         chunks = text.split(" ")
-        out = list(map(units.get, chunks))
-        if not chunks[0] or chunks[0][-1].isspace() or chunks[0][0].isspace():
+        first = chunks[0]
+        if not first or first[-1].isspace() or first[0].isspace():
             return self._whole(text)
-        out[0] = self._unit(chunks[0])
+        out = list(map(kept.new.get, chunks))
+        out[0] = self._unit(first)  # no space stands before it
         if None in out:
             for i, c in enumerate(chunks):
                 if out[i] is None:
-                    got = units.get(c)
+                    got = kept.new.get(c)
                     if got is None:
                         if not c or c[0].isspace() or c[-1].isspace():
                             return self._whole(text)
-                        got = units[c] = old.get(c) or self._unit(" " + c)
+                        got = kept.old.get(c) or self._unit(" " + c)
+                        kept.add(c, got)
                     out[i] = got
         return out
 
-    def _whole(self, text: str) -> list[tuple[str, bytes]]:
+    def _whole(self, text: str) -> list[str]:
         return [self._piece(p) for p in self.find(text)]
 
-    def _unit(self, unit: str) -> tuple[str, bytes]:
+    def _unit(self, unit: str) -> str:
         word = unit[1:] if unit[:1] == " " else unit
         if word.isalpha():  # letters alone are one piece, for the pattern as well
             return self._piece(unit)
         if word[-1] in ".," and word[:-1].isalpha():
-            (ids, data), (ids2, data2) = self._piece(unit[:-1]), self._piece(unit[-1])
-            return f"{ids},{ids2}", data + data2
-        got = [self._piece(p) for p in self.find(unit)]
-        return ",".join([ids for ids, _ in got]), b"".join([data for _, data in got])
+            return f"{self._piece(unit[:-1])},{self._piece(unit[-1])}"
+        return ",".join([self._piece(p) for p in self.find(unit)])
 
-    def _piece(self, piece: str) -> tuple[str, bytes]:
-        got = self.pieces.get(piece)
+    def _piece(self, piece: str) -> str:
+        got = self.pieces.new.get(piece)
         if got is None:
-            got = self.old_pieces.get(piece)
-            if got is not None:
-                self.pieces[piece] = got
-                return got
-            if len(self.pieces) > CACHE_ENTRIES:
-                self.pieces, self.old_pieces = {}, self.pieces
-            ids = self.encode_piece(piece)
-            got = ",".join(map(str, ids)), b"".join([self.content[i] for i in ids])
-            if len(piece) < 100:
-                self.pieces[piece] = got
+            got = self.pieces.old.get(piece) or ",".join(map(str, self.encode_piece(piece)))
+            self.pieces.add(piece, got)
         return got
 
-    def both(self, text: str) -> tuple[str, str]:
-        """Ids of a text, as decimals joined by commas, and the text that these ids stand for."""
-        got: list[tuple[str, bytes]] = []
+    def encode_text(self, text: str) -> str:
+        """Ids of a text, as decimals joined by commas."""
+        got: list[str] = []
         for part in [text] if self.split_special is None else self.split_special.split(text):
             if part in self.special:
-                got.append((str(self.special[part]), self.content[self.special[part]]))
+                got.append(str(self.special[part]))
             elif part:
                 got += self._units(part)
-        return ",".join([ids for ids, _ in got]), b"".join([data for _, data in got]).decode("utf-8", "replace")
-
-    def encode_text(self, text: str) -> str:
-        """Ids of a text, as decimals joined by commas."""
-        return self.both(text)[0]
+        return ",".join(got)
 
     def decode_ids(self, ids: str) -> str:
         """Text of decimals joined by commas; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.by_decimal.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-_known: dict[int, ByteBpe] = {}
+class Decoder:
+    """What decoding needs of a tokenizer file: the bytes of each id."""
 
+    def __init__(self, content: str) -> None:
+        spec = json.loads(content)
+        alphabet = byte_alphabet()
+        self.by_decimal = {str(i): bytes(alphabet[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        self.by_decimal |= {str(t["id"]): t["content"].encode() for t in spec.get("added_tokens", ())}
+
+    decode_ids = ByteBpe.decode_ids
+
+
+_known: dict[tuple, ByteBpe | Decoder] = {}
 
-def tokenizer(content: str) -> ByteBpe:
-    """One encoder for each content and Python process."""
-    key = hash(content)
+
+def tokenizer(content: str, kind: type = ByteBpe) -> ByteBpe | Decoder:
+    """One encoder or decoder for each content and Python process."""
+    key = kind, hash(content)
     if key not in _known:
         _known.clear()
-        _known[key] = ByteBpe(content)
+        _known[key] = kind(content)
     return _known[key]
 
 
@@ -224,6 +247,10 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
+def count(ids: str) -> int:
+    return ids.count(",") + 1 if ids else 0
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with its columns and a column ``ids``: the decimal ids of ``text``, joined by commas.
 
@@ -234,32 +261,42 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with its columns and the text that the ids (decimals joined by commas; null: none) stand for."""
-    return _apply(docs, path, ids, {text: "string"}, lambda t, s: (t.decode_ids(s),))
+    return _apply(docs, path, ids, {text: "string"}, lambda t, s: (t.decode_ids(s),), kind=Decoder)
 
 
-def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256: what :func:`encode` and then :func:`decode` give, as digests."""
+def digests(docs: DataFrame, path: str, text: str = "text", ids: str | None = None, with_text: bool = True) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, from :func:`encode` and then :func:`decode` in one pass.
+
+    The ids themselves are in the column named by ``ids``, if one is asked for; ``with_text`` says
+    whether the column ``text`` stays.
+    """
 
     def both(t: ByteBpe, s: str) -> tuple:
-        ids, back = t.both(s)
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        found = t.encode_text(s)
+        back = t.decode_ids(found)
+        made = count(found), hashlib.sha256(found.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        return made if ids is None else (*made, found)
 
-    return _apply(docs, path, text, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, both)
+    new = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({} if ids is None else {ids: "string"})
+    return _apply(docs, path, text, new, both, with_text)
 
 
-def _apply(docs: DataFrame, path: str, column: str, new: dict[str, str], each) -> DataFrame:
+def _apply(docs: DataFrame, path: str, column: str, new: dict[str, str], each, with_text: bool = True, kind: type = ByteBpe) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
-    keep = docs.drop(*new)
-    if column not in keep.columns:
+    own = docs.drop(*new)
+    if column not in own.columns:
         raise ValueError(f"no column {column}")
-    kinds = {"string": pa.large_string(), "bigint": pa.int64()}
+    at = own.columns.index(column)
+    places = [i for i, c in enumerate(own.columns) if with_text or i != at]
+    names = [own.columns[i] for i in places] + list(new)
+    kinds = {"string": pa.string(), "bigint": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(shared.value)
-        for batch in batches:
-            rows = [each(t, s.as_py() or "") for s in batch.column(batch.schema.get_field_index(column))]
-            made = [pa.array([r[k] for r in rows], kinds[kind]) for k, kind in enumerate(new.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *new])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + [f"`{k}` {v}" for k, v in new.items()])
-    return keep.mapInArrow(run, schema)
+        t = tokenizer(shared.value, kind)
+        for batch in slices(batches, at):
+            rows = [each(t, s.as_py() or "") for s in batch.column(at)]
+            made = [pa.array([r[k] for r in rows], kinds[x]) for k, x in enumerate(new.values())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], *made], names=names)
+
+    schema = ", ".join([f"`{own.schema[i].name}` {own.schema[i].dataType.simpleString()}" for i in places] + [f"`{k}` {v}" for k, v in new.items()])
+    return own.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import crc_mod, picked
+from .common import crc_mod, one_row_each, picked
 
 SAMPLE_ROWS = 4000
 BITS = 16
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     if not ids:
         return train([])
     pick = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    got = known.select("doc_id", "text", "lang").join(F.broadcast(pick), "doc_id").collect()  # `rows` texts
+    got = one_row_each(known.select("doc_id", "text", "lang").join(F.broadcast(pick), "doc_id"), rows).collect()
     return train([(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id, r.lang, r.text))])
 
 

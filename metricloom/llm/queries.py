@@ -18,7 +18,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(docs, public_tokenizers.path(TOKENIZER)).drop("text")
+    return bpe.digests(docs, public_tokenizers.path(TOKENIZER), with_text=False)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
