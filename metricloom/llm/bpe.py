@@ -34,8 +34,8 @@ from .common import slices
 #: Fixed value: how byte-level BPE splits text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_CHARS = 100
-KEPT_BYTES = 24 << 20  # of each generation of each cache; there are two caches of two generations
-KEPT_PAIRS = 150_000
+KEPT_BYTES = 48 << 20  # of each of two generations
+KEPT_PAIRS = 400_000
 _ENTRY = 260  # bytes of an entry beside its characters
 
 
@@ -99,7 +99,9 @@ class ByteBpe:
         self.content |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(PIECES).findall
-        self.pieces, self.units = Kept(), Kept()
+        self.units = Kept()
+        self.decimal = list(map(str, range(len(self.sizes))))
+        self.marks = {c: f",{self._piece(c)}" for c in ".,"}
         self.by_decimal = {str(i): b for i, b in self.content.items()}
 
     def compatible(self, left: int, right: int) -> bool:
@@ -159,6 +161,10 @@ class ByteBpe:
         out.reverse()
         return out
 
+    def _piece(self, piece: str) -> str:
+        decimal = self.decimal
+        return ",".join([decimal[i] for i in self.encode_piece(piece)])
+
     def _units(self, text: str) -> list[str]:
         """Ids of units of a text, in order.
 
@@ -166,41 +172,42 @@ class ByteBpe:
         past such a unit if it neither is empty nor starts or ends with white space. Other texts are
         split by the pattern as a whole. Units repeat, so their ids are kept.
         """
-        kept = self.units
         chunks = text.split(" ")
         first = chunks[0]
         if not first or first[-1].isspace() or first[0].isspace():
             return self._whole(text)
-        out = list(map(kept.new.get, chunks))
-        out[0] = self._unit(first)  # no space stands before it
+        out = list(map(self.units.new.get, chunks))
+        out[0] = ",".join(self._whole(first))  # no space stands before it
         if None in out:
+            unit = self._unit
             for i, c in enumerate(chunks):
                 if out[i] is None:
-                    got = kept.new.get(c)
-                    if got is None:
-                        if not c or c[0].isspace() or c[-1].isspace():
-                            return self._whole(text)
-                        got = kept.old.get(c) or self._unit(" " + c)
-                        kept.add(c, got)
+                    if (got := unit(c)) is None:
+                        return self._whole(text)
                     out[i] = got
         return out
 
     def _whole(self, text: str) -> list[str]:
-        return [self._piece(p) for p in self.find(text)]
-
-    def _unit(self, unit: str) -> str:
-        word = unit[1:] if unit[:1] == " " else unit
-        if word.isalpha():  # letters alone are one piece, for the pattern as well
-            return self._piece(unit)
-        if word[-1] in ".," and word[:-1].isalpha():
-            return f"{self._piece(unit[:-1])},{self._piece(unit[-1])}"
-        return ",".join([self._piece(p) for p in self.find(unit)])
+        """Ids of the pieces that the pattern finds; those that are a space and letters are units."""
+        return [self._piece(p) if p[0] != " " or (got := self._unit(p[1:])) is None else got for p in self.find(text)]
 
-    def _piece(self, piece: str) -> str:
-        got = self.pieces.new.get(piece)
+    def _unit(self, word: str) -> str | None:
+        """Ids of a space and ``word``, which has no space in it; None if white space is at one of its ends."""
+        kept = self.units
+        got = kept.new.get(word)
+        if got is not None:
+            return got
+        got = kept.old.get(word)
         if got is None:
-            got = self.pieces.old.get(piece) or ",".join(map(str, self.encode_piece(piece)))
-            self.pieces.add(piece, got)
+            if word.isalpha():  # letters alone are one piece, for the pattern as well
+                got = self._piece(" " + word)
+            elif word[-1:] in self.marks and word[:-1].isalpha():  # one more piece; made from the word without it
+                return self._unit(word[:-1]) + self.marks[word[-1]]
+            elif not word or word[0].isspace() or word[-1].isspace():
+                return None
+            else:
+                got = ",".join([self._piece(p) for p in self.find(" " + word)])
+        kept.add(word, got)
         return got
 
     def encode_text(self, text: str) -> str:
