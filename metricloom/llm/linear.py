@@ -2,8 +2,14 @@
 
 Two trainers share the features: a logistic one and the dual coordinate descent of the linear
 support vector machine. Models are trained on the driver from a bounded sample of labelled texts
-(the bound is a parameter) and are arrays of a fixed size, whatever the corpus. Scoring goes over all
-rows and whole texts.
+(the bound is a parameter) and are arrays of a fixed size, whatever the corpus. Every hashed n-gram
+that tells the classes apart is a feature; the sample's matrix is held as four bytes for each n-gram
+of each text, as the value of an entry is the ratio of its column. Scoring goes over all rows and
+whole texts, in chunks of a bounded size.
+
+Defined results: texts without features (null and empty ones among them) have the score of the bias;
+equal texts have equal scores; texts of any length are scored whole; an empty table gives an empty
+result; without labelled texts of both classes every score is the smoothed share of label 1.
 """
 
 from __future__ import annotations
@@ -16,41 +22,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
+from .common import slices
 
 BITS = 19
 SMOOTHING = 1.0
 MIN_ROWS = 4
-MIN_Z = 3.0
-MAX_FEATURES = 60_000
+MIN_Z = {"toxicity": 4.0, "quality": 3.0}  # of the ratio against its standard error; by cross-validation within the rows learned from
 
 #: Kinds of words for n-grams over word classes.
 LOWER_CASE, CAPITAL, UPPER_CASE, NUMBER, MARKS, SYMBOLS, REPEATED, OTHER = range(1, 9)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>{}[]=\\^~_@")] = True
+#: By code point below U+2000: its lower case, where that is one character; white space as a space.
+_LOWER = np.array([32 if c in (9, 10, 11, 12, 13) else ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x2000)], np.uint32)
+
+
+def _grams_of(code: np.ndarray, border: np.uint64, offsets: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, hashed n-gram) of the codes of some texts, with a border before and after each."""
+    n = len(offsets) - 1
+    at = offsets + np.arange(n + 1)  # one border after each text, one before the first
+    padded = np.full(at[-1] + 1, border)
+    inside = np.ones(len(padded), bool)
+    inside[at] = False
+    padded[inside] = code
+    which = np.repeat(np.arange(n), np.diff(at))
+    for size in sizes:
+        h = K.gram_hashes(padded, size)
+        if not len(h):
+            continue
+        first, last = which[:len(h)], at[1:]
+        # runs that reach past the border behind their text are not n-grams of it
+        keep = np.arange(len(h)) + size - 1 <= last[first]
+        yield first[keep], (h[keep] >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def char_grams(sizes: tuple[int, ...]) -> Callable:
+    """n-grams of characters (code points) in lower case; the start and the end of a text count as white space, and so does every white space."""
+    border = K.mix(np.array([32], np.uint64))[0]
+
+    def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+        small = points < len(_LOWER)
+        points = np.where(small, _LOWER[np.where(small, points, 0)], points)
+        yield from _grams_of(K.mix(points.astype(np.uint64)), border, at, sizes)
+
+    return grams
 
 
-def char_grams(sizes: tuple[int, ...], lower: bool) -> Callable:
-    """n-grams of bytes; the start and the end of a text count as white space, and so does every white space."""
-    table = (K.LOWER if lower else np.arange(256, dtype=np.uint8)).copy()
+def byte_grams(sizes: tuple[int, ...]) -> Callable:
+    """n-grams of bytes as they are; white space as in :func:`char_grams`."""
+    table = np.arange(256, dtype=np.uint8)
     table[K.SPACE] = 32
     code = K.BYTE_CODE[table]
 
     def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = len(offsets) - 1
-        at = offsets + np.arange(n + 1)  # one space after each text, one before the first
-        padded = np.full(at[-1] + 1, code[32])
-        inside = np.ones(len(padded), bool)
-        inside[at] = False
-        padded[inside] = code[data]
-        which = np.repeat(np.arange(n), np.diff(at))
-        for size in sizes:
-            h = K.gram_hashes(padded, size)
-            if not len(h):
-                continue
-            first, last = which[:len(h)], at[1:]
-            # runs that reach past the space behind their text are not n-grams of it
-            keep = np.arange(len(h)) + size - 1 <= last[first]
-            yield first[keep], (h[keep] >> np.uint64(64 - BITS)).astype(np.int64)
+        yield from _grams_of(code[data], code[32], offsets, sizes)
 
     return grams
 
@@ -88,8 +115,8 @@ def class_grams(sizes: tuple[int, ...]) -> Callable:
 
 
 FEATURES: dict[str, list[Callable]] = {
-    "toxicity": [char_grams((4, 6, 8), lower=True)],
-    "quality": [char_grams((2, 3, 4), lower=False), class_grams((1, 2, 3))],
+    "toxicity": [char_grams((4, 5, 6))],
+    "quality": [byte_grams((2, 3, 4)), class_grams((1, 2, 3))],
 }
 
 
@@ -138,14 +165,39 @@ def log_count_ratios(kind: str, texts: pa.Array, label: np.ndarray) -> tuple[np.
         zero += np.bincount(feature[~y], minlength=1 << BITS)
     ratio = np.log(one / (label.sum() + 2 * SMOOTHING)) - np.log(zero / ((1 - label).sum() + 2 * SMOOTHING))
     z = np.abs(ratio) / np.sqrt(1 / one + 1 / zero)
-    keep = (one + zero - 2 * SMOOTHING >= MIN_ROWS) & (z >= MIN_Z)
-    if keep.sum() > MAX_FEATURES:
-        keep &= z >= np.partition(z[keep], -MAX_FEATURES)[-MAX_FEATURES]
+    keep = (one + zero - 2 * SMOOTHING >= MIN_ROWS) & (z >= MIN_Z[kind])
     return ratio, keep
 
 
-def _prepare(kind: str, sample: list[tuple[str, int]]):
-    """Labels, and row, column, value of the sample's matrix; the features kept and their ratios."""
+@dataclass
+class Matrix:
+    """The kept features of each text of a sample; an entry's value is its column's ratio."""
+
+    label: np.ndarray
+    indptr: np.ndarray
+    col: np.ndarray  # int32
+    chosen: np.ndarray  # by column: the hashed n-gram
+    ratio: np.ndarray  # by column
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        """The product with weights by column."""
+        scaled, out = self.ratio * w, np.zeros(len(self.label))
+        for lo in range(0, len(out), 256):
+            cut = self.indptr[lo:lo + 257]
+            x = np.append(scaled[self.col[cut[0]:cut[-1]]], 0.0)
+            out[lo:lo + 256] = np.add.reduceat(x, cut[:-1] - cut[0]) * (np.diff(cut) > 0)
+        return out
+
+    def gradient(self, g: np.ndarray) -> np.ndarray:
+        """The product of the transposed matrix with numbers by text."""
+        out = np.zeros(len(self.ratio))
+        for lo in range(0, len(g), 256):
+            cut = self.indptr[lo:lo + 257]
+            out += np.bincount(self.col[cut[0]:cut[-1]], np.repeat(g[lo:lo + 256], np.diff(cut)), len(out))
+        return self.ratio * out
+
+
+def _prepare(kind: str, sample: list[tuple[str, int]]) -> Matrix | None:
     label = np.array([y for _, y in sample])
     if not len(sample) or label.min() == label.max():
         return None
@@ -156,8 +208,13 @@ def _prepare(kind: str, sample: list[tuple[str, int]]):
         return None
     new = np.full(1 << BITS, -1, np.int32)
     new[chosen] = np.arange(len(chosen))
-    got = [((row + lo).astype(np.int32), new[feature]) for lo, _, row, feature in indicators(kind, texts, keep)]  # by row
-    return label, np.concatenate([r for r, _ in got]), np.concatenate([c for _, c in got]), chosen, ratio[chosen].astype(np.float32)
+    cols, sizes = [], []
+    for lo, hi, row, feature in indicators(kind, texts, keep):  # by row
+        cols.append(new[feature])
+        sizes.append(np.bincount(row, minlength=hi - lo))
+    col = np.concatenate(cols)
+    del cols
+    return Matrix(label, np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), col, chosen, ratio[chosen].astype(np.float32))
 
 
 def _constant(kind: str, sample: list[tuple[str, int]]) -> Model:
@@ -166,43 +223,70 @@ def _constant(kind: str, sample: list[tuple[str, int]]) -> Model:
     return Model(kind, np.zeros(1 << BITS, np.float32), 0.0, constant=share)
 
 
-def _model(kind: str, w: np.ndarray, bias: float, chosen: np.ndarray, ratio: np.ndarray, **more: float) -> Model:
+def _model(kind: str, w: np.ndarray, bias: float, m: Matrix, **more: float) -> Model:
     weights = np.zeros(1 << BITS, np.float32)
-    weights[chosen] = w * ratio
+    weights[m.chosen] = w * m.ratio
     return Model(kind, weights, bias, **more)
 
 
-def train_logistic(kind: str, sample: list[tuple[str, int]], decay: float = 3e-4, steps: int = 250) -> Model:
-    """Logistic regression on the scaled indicators, by Nesterov's method with adaptive step sizes."""
-    got = _prepare(kind, sample)
-    if got is None:
+def minimise(f: Callable, x: np.ndarray, rounds: int, near: float, memory: int = 8) -> np.ndarray:
+    """A minimum of ``f`` (value and gradient) by limited-memory quasi-Newton steps; ends when the gradient is ``near`` its start's share."""
+    value, grad = f(x)
+    first = np.linalg.norm(grad)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.linalg.norm(grad) <= near * first:
+            break
+        d, back = -grad, []
+        for s, y in reversed(steps):
+            back.append(s @ d / (y @ s))
+            d = d - back[-1] * y
+        if steps:
+            s, y = steps[-1]
+            d = d * (s @ y / (y @ y))
+        for (s, y), a in zip(steps, reversed(back), strict=True):
+            d = d + (a - y @ d / (y @ s)) * s
+        length = 1.0 if steps else 1 / max(first, 1e-12)
+        while True:
+            new, new_grad = f(x + length * d)
+            if new <= value + 1e-4 * length * (grad @ d) or length < 1e-10:
+                break
+            length /= 2
+        s, y = length * d, new_grad - grad
+        if y @ s > 1e-12 * (y @ y):
+            steps = [*steps, (s, y)][-memory:]
+        x, value, grad = x + s, new, new_grad
+    return x
+
+
+def train_logistic(kind: str, sample: list[tuple[str, int]], decay: float = 3e-4, rounds: int = 100, near: float = 1e-3) -> Model:
+    """Logistic regression on the scaled indicators."""
+    m = _prepare(kind, sample)
+    if m is None:
         return _constant(kind, sample)
-    label, row, col, chosen, ratio = got
-    n, d = len(label), len(chosen)
-    value = ratio[col]
-    w, b, m, v, mb, vb = np.zeros(d), 0.0, np.zeros(d), np.zeros(d), 0.0, 0.0
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], n) + b, -40, 40)))
-        g = p - label
-        grad, gb = np.bincount(col, value * g[row], d) / n + decay * w, g.mean()
-        m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        rate = 0.02 * min(1.0, 3 * (1 - t / (steps + 1)))
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        b -= 5 * rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return _model(kind, w, b, chosen, ratio)
-
-
-def dual_coordinate_descent(indptr: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, d: int, cost: float, rounds: int, rows: np.ndarray | None = None) -> np.ndarray:
+    n = len(m.label)
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, z = x[:-1], m.margins(x[:-1]) + x[-1]
+        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - m.label) / n
+        return float((np.logaddexp(0, z) - m.label * z).mean() + decay / 2 * (w @ w)), np.append(m.gradient(g) + decay * w, g.sum())
+
+    x = minimise(loss, np.zeros(len(m.chosen) + 1), rounds, near)
+    return _model(kind, x[:-1], float(x[-1]), m)
+
+
+def dual_coordinate_descent(m: Matrix, cost: float, rounds: int, rows: np.ndarray | None = None) -> np.ndarray:
     """Weights (the bias last) of the linear machine with hinge loss on ``rows``: one dual variable after the other."""
+    y, d = np.where(m.label == 1, 1.0, -1.0), len(m.chosen)
     w, alpha = np.zeros(d + 1), np.zeros(len(y))
-    square = np.add.reduceat(np.append(value**2, 0), indptr[:-1]).astype(float) * (np.diff(indptr) > 0) + 1
-    order = np.random.Generator(np.random.PCG64(1))
     rows = np.arange(len(y)) if rows is None else rows
+    square = np.array([1 + float((m.ratio[m.col[a:b]] ** 2).sum(dtype=float)) for a, b in zip(m.indptr[:-1], m.indptr[1:], strict=True)])
+    order = np.random.Generator(np.random.PCG64(1))
     for _ in range(rounds):
         worst = 0.0
         for i in order.permutation(rows):
-            s = slice(indptr[i], indptr[i + 1])
-            c, x = col[s], value[s]
+            c = m.col[m.indptr[i]:m.indptr[i + 1]]
+            x = m.ratio[c]
             g = y[i] * (x @ w[c] + w[d]) - 1
             step = min(max(alpha[i] - g / square[i], 0.0), cost) - alpha[i]
             if step:
@@ -217,20 +301,15 @@ def dual_coordinate_descent(indptr: np.ndarray, col: np.ndarray, value: np.ndarr
 
 def train_svm(kind: str, sample: list[tuple[str, int]], cost: float = 0.02, rounds: int = 30) -> Model:
     """Hinge-loss machine on the scaled indicators; a sigmoid over the margins of texts left out gives the score."""
-    got = _prepare(kind, sample)
-    if got is None:
+    m = _prepare(kind, sample)
+    if m is None:
         return _constant(kind, sample)
-    label, row, col, chosen, ratio = got
-    value = ratio[col]
-    indptr = np.searchsorted(row, np.arange(len(label) + 1))
-    y = np.where(label == 1, 1.0, -1.0)
-    fold = np.arange(len(y)) % 5 == 4
-    inner = np.flatnonzero(~fold)
-    w = dual_coordinate_descent(indptr, col, value, y, len(chosen), cost, rounds, inner)
-    margin = np.bincount(row, value * w[col], len(label)) + w[-1]
-    slope, shift = _sigmoid(margin[fold], label[fold]) if len(set(label[fold])) == 2 else (1.0, 0.0)
-    w = dual_coordinate_descent(indptr, col, value, y, len(chosen), cost, rounds)
-    return _model(kind, w[:-1], float(w[-1]), chosen, ratio, slope=slope, shift=shift)
+    fold = np.arange(len(m.label)) % 5 == 4
+    w = dual_coordinate_descent(m, cost, rounds, np.flatnonzero(~fold))
+    margin = m.margins(w[:-1]) + w[-1]
+    slope, shift = _sigmoid(margin[fold], m.label[fold]) if len(set(m.label[fold])) == 2 else (1.0, 0.0)
+    w = dual_coordinate_descent(m, cost, rounds)
+    return _model(kind, w[:-1], float(w[-1]), m, slope=slope, shift=shift)
 
 
 def _sigmoid(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -255,11 +334,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """
     keep = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: an array of a fixed size
+    at = keep.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            got = model.scores(batch.column(batch.schema.get_field_index(text)))
+        for batch in slices(batches, at):
+            got = model.scores(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, name])
 
     return keep.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + [f"`{name}` double"]))
