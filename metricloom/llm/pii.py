@@ -1,15 +1,19 @@
 """Personal data: base patterns, and a span classifier trained by weak supervision.
 
-Every place that looks like an address or a number is a candidate. Labelers vote on it (1: personal
-data, 0: not, no vote): the strict pattern, a gazetteer, the words around it, and its form. The votes
-of all candidates of the corpus are counted by pattern of votes; the number of patterns is bounded by
-the labelers, not by the corpus. Expectation-maximisation over these counts estimates how reliable
-each labeler is, per kind, and how likely each candidate is personal data. A logistic span classifier
-is then trained on these probabilities over votes and form, and decides on candidates that no base
-pattern covers. Base spans always stay.
-
-Defined results: a null or empty text has no spans; equal rows get equal results; an empty corpus
-trains nothing, and then only base spans are found.
+Every place that looks like an address, a number, a credential or a name is a candidate. Labelers vote
+on it (1: personal data, 0: not, no vote): a strict pattern, a gazetteer, the words before it, its
+form, and what speaks against it. The votes of all candidates of the corpus are counted by pattern of
+votes and form; the number of patterns is bounded by the labelers, not by the corpus.
+Expectation-maximisation over these counts estimates how reliable each labeler is, per kind, and how
+likely each candidate is personal data. A logistic span classifier is then trained on these
+probabilities over votes and form, and decides on every candidate that no base pattern covers. Base
+spans always stay; spans of the kinds ``secret`` (a credential) and ``name`` come from it alone.
+
+Defined results: a null or empty text has no spans; very long texts are searched whole, in time linear
+in their length; of candidates that overlap the one that starts first counts, then the longer, then
+the kind listed first; candidates that reach into a base span are left out; equal rows get equal
+results, one for each; an empty corpus trains nothing, and then only base spans are found; columns
+with the names of new ones are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -24,7 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from .common import slices
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret", "name")
 _NUMBER = {k: i for i, k in enumerate(KINDS)}
 
 # The base patterns. Those that start at a digit start at the first of a run of digits:
@@ -37,9 +44,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Candidates that are wider than the base patterns.
 _RUN = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])++")
-_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?:at|AT|At|@) ?[\])] ?[A-Za-z0-9-]{1,63}+(?:(?: ?[\[(] ?(?:dot|DOT|Dot|\.) ?[\])] ?|\.)[A-Za-z0-9-]{1,63}+)+")
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?(?:at|AT|At|@) ?[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(] ?(?:dot|DOT|Dot|\.) ?[\])] ?|\.)[A-Za-z0-9-]++)+")
 _IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_SOMETHING = re.compile(r"[0-9@(\[]").search
+_ASSIGNED = re.compile(r"[=:] ?[\"']?([^\s\"'<>,;=]{8,}+)")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
+_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Dear|Herr|Frau|Monsieur|Madame|Señor|Señora|[Nn]ame is|[Nn]ame:)\.? ((?:[A-ZÀ-Þ][a-zß-ÿ'-]++ ?)++)")
 
 # Gazetteers and context words.
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co us uk de fr es it nl eu ch at be se no dk fi pl pt ru cn jp in br ca au example test".split())
@@ -50,10 +59,16 @@ CONTEXT = {
     "ip": re.compile(r"(?i)\b(?:ip|ipv6|host|server|address|login)\b"),
     "card": re.compile(r"(?i)\b(?:card|visa|credit|debit|payment|carte|tarjeta|karte)\b"),
     "phone": re.compile(r"(?i)\b(?:phone|tel|call|fax|mobile|cell|whatsapp|telefon|téléphone|teléfono)\b"),
+    "secret": re.compile(r"(?i)(?:\b|_)(?:token|secret|password|passwd|passphrase|pwd|api|key|auth|bearer|credentials?|login)(?:\b|_)"),
+    "name": re.compile(r"(?i)\b(?:sincerely|regards|signed|contact|author|patient|customer|client|dear|met|with|by)\b"),
 }
+AGAINST = re.compile(r"(?i)\b(?:isbn|issn|doi|version|order|invoice|page|pages|chapter|figure|total|sum|commit|sha|sha1|sha256|md5|checksum|digest|uuid|build|http|https|url|street|square)\b")
+CREDENTIALS = frozenset("token secret password passwd passphrase pwd key apikey auth bearer credential credentials".split())
+GIVEN_NAMES = frozenset("James Mary John Anna Maria Peter Paul Robert Linda David Sarah Michael Laura Thomas Emma Daniel Sophie Jean Pierre Marie Claire Hans Klaus Karl Heinz Ursula Petra Jan Eva José Juan Carlos Luis Ana Carmen Elena Marco Giulia Ivan Olga Natasha Ahmed Fatima Wei Li".split())
 CONTEXT_CHARS = 32
 
-LABELERS = ("pattern", "gazetteer", "context", "form")
+#: "against" votes 0 or not at all; the others may disagree with each other on any candidate.
+LABELERS = ("pattern", "gazetteer", "context", "form", "against")
 EM_ROUNDS = 100
 THRESHOLD = 0.5
 
@@ -94,47 +109,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _others(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, -end) of places wider than the base patterns."""
+    if "(" in text or "[" in text:
+        for m in _SPELT.finditer(text):
+            yield m.start(), 0, -m.end()
+    if text.count(":") >= 7:
+        for m in _IP6.finditer(text):
+            yield m.start(), 1, -m.end()
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() >= 7 and (n := len(_digits(m[0]))) >= 7:
+            yield m.start(), 2 if n >= 13 else 1 if m[0].count(".") == 3 else 3, -m.end()
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            yield m.start(1), 4, -m.end(1)
+    for m in _OPAQUE.finditer(text):
+        s = m[0]
+        if not s.isalpha() and not s.isdigit() and _letters(s):
+            yield m.start(), 4, -m.end()
+    for m in _TITLED.finditer(text):
+        yield m.start(1), 5, -(m.start(1) + len(m[1].rstrip()))
+
+
+def _letters(s: str) -> bool:
+    return any("a" <= c <= "z" or "A" <= c <= "Z" for c in s)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, str]]:
     """Spans that may be personal data (the base ones among them), with their pattern of votes and form."""
-    taken = [(s, e) for s, _, e in base]
     for start, kind, end in base:
         yield start, kind, end, _votes(text, start, kind, end, True)
-    k = 0
-    others = [(m.start(), 0, m.end()) for m in _SPELT.finditer(text)] if "(" in text or "[" in text else []
-    if text.count(":") >= 7:
-        others += [(m.start(), 1, m.end()) for m in _IP6.finditer(text)]
-    for m in _RUN.finditer(text):
-        if m.end() - m.start() >= 7:
-            n = len(_digits(m[0]))
-            if 7 <= n <= 19:
-                others.append((m.start(), 2 if n >= 13 else 1 if m[0].count(".") == 3 and n <= 12 else 3, m.end()))
-    for start, kind, end in sorted(others):
+    taken = _merged([(s, e) for s, _, e in base])
+    k, done = 0, 0
+    for start, end, kind in sorted((s, e, k) for s, k, e in set(_others(text))):  # the longer first, as ends are negative
+        end = -end
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if all(e <= start or s >= end for s, e in taken[k:k + 5]):
+        if start >= done and (k == len(taken) or end <= taken[k][0]):
+            done = end
             yield start, kind, end, _votes(text, start, kind, end, False)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def _varied(s: str) -> bool:
+    """Whether the characters of ``s`` are as mixed as in random text: few repeats, in letters and digits."""
+    return len(set(s)) >= min(9, len(s) // 2 + 1) and not s.isalpha() and _letters(s)
+
+
 def _votes(text: str, start: int, kind: int, end: int, strict: bool) -> str:
     """The votes (1, 0, or - for none) and the form of a candidate, as one short string."""
-    s, d = text[start:end], _digits(text[start:end])
+    s = text[start:end]
+    d = _digits(s)
+    before = text[max(0, start - CONTEXT_CHARS):start]
     if kind == 0:
         known = "1" if s.rpartition(".")[2].strip("])( ").lower() in TOP_DOMAINS else "0"
-        form = "1" if re.search(r"[A-Za-z]", s) else "0"
+        form = "1" if _letters(s) else "0"
     elif kind == 1:
         known = "0" if d.startswith(("0", "127")) else "-"
         form = "1" if ":" in s or all(len(p) <= 3 and p and int(p) <= 255 for p in re.split(r"[^0-9]+", s) if p) and s.count(".") == 3 else "0"
     elif kind == 2:
         known = "1" if d.startswith(CARD_ISSUERS) else "0"
         form = "1" if luhn(d) else "0"
-    else:
+    elif kind == 3:
         plus = s.startswith("+")
         known = ("1" if d[:1] in DIAL_CODES or d[:2] in DIAL_CODES else "0") if plus else "-"
         form = "1" if re.fullmatch(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})*", s) else "0"
-    around = text[max(0, start - CONTEXT_CHARS):start]
-    context = "1" if CONTEXT[KINDS[kind]].search(around) else "-"
+    elif kind == 4:
+        words = re.findall(r"[A-Za-z]+", before)
+        assigned = re.search(r"[=:] ?[\"']?$", before)
+        known = ("1" if words[-1].lower() in CREDENTIALS else "0") if assigned and words else "-"
+        strict = bool(re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", s)) or len(s) >= 20 and bool(re.search(r"[0-9]", s) and re.search(r"[a-z]", s) and re.search(r"[A-Z]", s) and not re.search(r"[^A-Za-z0-9+/_-]", s))
+        form = "1" if _varied(s) else "0"
+    else:
+        words = s.split()
+        known = "1" if words[0] in GIVEN_NAMES else "0"
+        strict = len(words) in (2, 3)
+        form = "1" if all(2 <= len(w) <= 15 for w in words) else "0"
+    context = "1" if CONTEXT[KINDS[kind]].search(before) else "-"
+    against = "0" if AGAINST.search(before) or s.startswith(("/", "http")) else "-"
     parts = min(4, len(re.split(r"[^0-9A-Za-z]+", s.strip("+("))))
-    return f"{KINDS[kind]}|{'1' if strict else '0'}{known}{context}{form}|{len(d)}|{parts}|{int('(' in s)}{int(s[:1] == '+')}"
+    return f"{KINDS[kind]}|{'1' if strict else '0'}{known}{context}{form}{against}|{min(len(d), 24)}|{parts}|{int('(' in s)}{int(s[:1] == '+')}"
 
 
 def aggregate(counts: dict[str, int], rounds: int = EM_ROUNDS) -> dict[str, float]:
@@ -206,7 +269,7 @@ def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             got: Counter[str] = Counter()
             for s in batch.column(0):
                 s = s.as_py()
-                if s and _SOMETHING(s):
+                if s:
                     got.update(p for *_, p in candidates(s, base_spans(s)))
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["pattern", "n"])
 
@@ -220,14 +283,12 @@ def fit(docs: DataFrame, text: str = "text") -> dict[str, float]:
 
 def all_spans(text: str, weights: dict[str, float], known: dict[str, float]) -> tuple[list, list]:
     """Base spans, and these with those that the classifier adds."""
-    if not text or not _SOMETHING(text):
+    if not text:
         return [], []
     base = base_spans(text)
     every = list(base)
     if weights:
-        for start, kind, end, pattern in candidates(text, []):
-            if any(s < end and start < e for s, _, e in base):
-                continue
+        for start, kind, end, pattern in list(candidates(text, base))[len(base):]:
             p = known.get(pattern)
             if p is None:
                 p = known[pattern] = probability(pattern, weights)
@@ -241,18 +302,18 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone, base_sha256 and spans.
+    """``docs`` with n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans.
 
-    ``spans`` has kind:start:end by start, then kind, comma-joined (code points, end exclusive);
+    The four counts are of base spans; ``n_spans`` is the number of all. ``spans`` has kind:start:end by start, then kind, comma-joined (code points, end exclusive);
     ``base_sha256`` is the digest of the base ones alone, written likewise. Columns of these names
     are replaced; all others stay.
     """
-    new = {"n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"}
+    new = {"n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string", "n_spans": "bigint"}
 
     def each(s: str, known: dict) -> tuple:
         base, every = all_spans(s, weights, known)
         n = Counter(k for _, k, _ in base)
-        return n[0], n[1], n[2], n[3], hashlib.sha256(written(base).encode()).hexdigest(), written(every)
+        return n[0], n[1], n[2], n[3], hashlib.sha256(written(base).encode()).hexdigest(), written(every), len(every)
 
     return _rows(docs, text, new, each)
 
@@ -278,8 +339,8 @@ def _rows(docs: DataFrame, text: str, new: dict[str, str], each, replace: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
+        at = keep.columns.index(text)
+        for batch in slices(batches, at):
             texts = batch.column(at)
             if replace:
                 rows = [(None,) if (s := x.as_py()) is None else each(s, known) for x in texts]
