@@ -4,11 +4,16 @@ Sets are cut into bands by size. For a band the universe of shingles is partitio
 hash; a set's share of a segment is one signature. Two sets that reach the threshold differ in a
 bounded number of shingles, each of which spoils one segment, so enough segments agree exactly. Of
 its signatures a set therefore needs only as many as the bound, plus one. Which ones is decided by
-cost: the rarest in the corpus, by a sketch of counts with a fixed size. All sets use the same order,
-so two similar sets share a chosen signature (the prefix argument), and segments in which thousands of
-dissimilar texts agree are left out. Where a set has too few segments with content for the bound, it
-is indexed with all its segments and their one-deletion neighbourhoods, and, where these don't reach
-the bound either, with its single shingles.
+cost: first those that do not stand out in any task's counts, then the less common of the others (a
+sketch of a fixed size has the counts of what stands out; signatures too thinly spread to stand out
+cost about the same). All sets use the same order, so two similar sets share a chosen signature (the
+prefix argument), and segments in which thousands of dissimilar texts agree are left out. Where a set
+has too few segments with content for the bound, it is indexed with all its segments and their
+one-deletion neighbourhoods, and, where these don't reach the bound either, with its single shingles.
+
+Allocation is the same for both sets of a pair. The other form, in which each set's probes choose
+between a segment and its deletions freely, needs all segments and all deletions of every set in the
+index: for a set of n shingles some 1.3 n rows instead of 0.2 n.
 
 Texts that share a signature meet in the cell of the smallest id among them, in blocks of a bounded
 size. First only their histograms meet there: how many shingles a set has in each of some equal ranges
@@ -16,7 +21,7 @@ of hashes. Two sets differ in at least as many shingles as their histograms do,
 partner close enough by size and histogram drop out. The shingles of the others are then compared
 exactly; a block yields a spanning forest of its links, not all pairs.
 
-Ids of sets are 64-bit hashes of their content; equal sets are one class from the start.
+Ids of sets and of shingles are 64-bit hashes of their content; equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import row_key, stash
+from .common import fresh, row_key, slices, stash
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -164,28 +169,33 @@ def _docs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def describe(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """For each document key, doc_id, n (size of its set), sid (id of the set; null if empty), shape (its histogram), and rows of
-    the signature sketch (bucket, n): signatures that several sets of one batch have."""
+    the signature sketch (bucket, n): what stands out in the counts over all different sets of a task."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bucket", pa.int32()), ("shape", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, sid, shape, found, seen = [], [], [], [], set()
+        count = np.zeros(1 << SKETCH_BITS, np.int32)
+        seen: set[int] = set()
+        for batch in slices(batches, 2):
+            n, sid, shape = [], [], []
             for _, _, data, offsets in K.chunks(batch.column(2)):
+                found = []
                 for u in shingle_sets(data, offsets, size):
                     n.append(len(u))
                     sid.append(set_id(u) if len(u) else None)
                     shape.append(histogram(u).tobytes() if len(u) else None)
                     if len(u) and sid[-1] not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(sid[-1])
                         found.append(all_signatures(u, percent))
+                if found:
+                    np.add.at(count, (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(len(n), pa.int32()), pa.array(shape, pa.binary())], schema=schema)
-            if found:
-                value, count = np.unique(np.concatenate(found), return_counts=True)
-                often = count > 1
-                bucket, place = np.unique((value[often] >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_inverse=True)
-                total = np.bincount(place, count[often]).astype(np.int64) if len(bucket) else np.zeros(0, np.int64)
-                none = pa.nulls(len(bucket), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(total), none, pa.array(bucket), pa.nulls(len(bucket), pa.binary())], schema=schema)
+        # far more than chance puts into a bucket: these hold signatures that many sets have
+        usual = count.mean()
+        bucket = np.flatnonzero(count > usual + 6 * np.sqrt(usual) + 3)
+        none = pa.nulls(len(bucket), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(count[bucket].astype(np.int64)), none, pa.array(bucket.astype(np.int32)), pa.nulls(len(bucket), pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "key bigint, doc_id bigint, n bigint, sid bigint, bucket int, shape binary")
 
@@ -196,7 +206,7 @@ def signature_rows(docs: DataFrame, sketch: np.ndarray, size: int, percent: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for _, _, data, offsets in K.chunks(batch.column(0)):
                 sigs, ids = [], []
                 for u in shingle_sets(data, offsets, size):
@@ -280,20 +290,24 @@ def block_rows(members: DataFrame) -> DataFrame:
     return members.select("cell", "blocks", "sid", "key", "n", "shape").mapInArrow(run, "cell bigint, part int, sid bigint, key bigint, n bigint, shape binary")
 
 
-def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The rows of each cell (the first column), where cells stand together."""
-    rows: list[tuple] = []
+def by_cell(batches: Iterator[pa.RecordBatch], part: int, sid: int) -> Iterator[list[tuple]]:
+    """The rows of each cell (the first column), where cells stand together: one for each part and set, however often it comes."""
+    name, rows = None, {}
     for batch in batches:
         cell = batch.column(0).to_numpy()
         columns = [c.to_pylist() for c in batch.columns]
         cut = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if rows and a < b and rows[0][0] != cell[a]:
-                yield rows
-                rows = []
-            rows += zip(*[c[a:b] for c in columns], strict=True)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            if name != (now := columns[0][a]):
+                if rows:
+                    yield list(rows.values())
+                name, rows = now, {}
+            for row in zip(*[c[a:b] for c in columns], strict=True):
+                rows.setdefault((row[part], row[sid]), row)
     if rows:
-        yield rows
+        yield list(rows.values())
 
 
 def promising(blocks: DataFrame, percent: int) -> DataFrame:
@@ -301,8 +315,7 @@ def promising(blocks: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for rows in by_cell(batches):
-            rows = list({r[2]: r for r in rows}.values())
+        for rows in by_cell(batches, 1, 2):
             if len(rows) > 1:
                 keep = possible(np.array([r[4] for r in rows]), np.array([r[1] for r in rows]), [r[5] for r in rows], percent)
                 out += [(r[3], r[0], r[1]) for r, k in zip(rows, keep.tolist(), strict=True) if k]
@@ -318,15 +331,21 @@ def promising(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def cell_rows(members: DataFrame, size: int) -> DataFrame:
-    """From (text, cells: array of (cell, part)): a row (cell, part, sid, content) for each."""
+    """From (text, cells: array of (cell, part)): a row (cell, part, sid, content) for each; texts that come again in a task make none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[int] = set()
+        for batch in slices(batches, 0):
             cells = batch.column(1)
             for lo, _, data, offsets in K.chunks(batch.column(0)):
                 rows: list[tuple[int, int, int, bytes]] = []
                 for i, u in enumerate(shingle_sets(data, offsets, size)):
                     sid, content = set_id(u), u.tobytes()
+                    if sid in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(sid)
                     rows += [(c["cell"], c["part"], sid, content) for c in cells[lo + i].as_py()]
                     if len(rows) > 2000:
                         yield _cells(rows)
@@ -359,7 +378,7 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for rows in by_cell(batches):
+        for rows in by_cell(batches, 1, 2):
             out += verify(rows)
             if len(out) > 10_000:
                 yield _edges(out)
@@ -399,8 +418,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
         .groupBy("cell", "sid").agg(F.lit(1).alias("one")).select("cell", "sid")
     )
     met = stash(met, "met")
-    sizes = met.groupBy("cell").agg(F.ceil((F.count(F.lit(1)) + 1) / BLOCK).cast("int").alias("blocks"))
-    members = met.union(met.select("cell", "cell").distinct()).join(sizes, "cell").select("sid", "cell", "blocks")
+    sizes = stash(met.groupBy("cell").agg(F.ceil((F.count(F.lit(1)) + 1) / BLOCK).cast("int").alias("blocks")), "sizes")
+    large = sizes.where("blocks > 1")  # a written table: Spark can split the partition of a large cell in the join with it
+    members = met.union(sizes.select("cell", "cell")).join(large, "cell", "left").select("sid", "cell", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     left = stash(promising(block_rows(members.join(classes.select("sid", "key", "n", "shape"), "sid")), percent), "promising")
     wanted = left.groupBy("key").agg(F.collect_list(F.struct("cell", "part")).alias("cells"))
     # a merge join at every size: the side without texts grows with the documents
@@ -426,9 +446,11 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     ids alone, which is enough where ids are distinct and not null.
     """
     if "key" not in found.columns:
-        stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-        return docs.join(stays.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
-    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("x")).select(F.col("x.key").alias("kept_key"))
-    wordless = found.where("group IS NULL").select(F.col("key").alias("kept_key")).distinct()
-    kept = lambda keys: docs.join(keys, row_key(F.col("doc_id"), F.col("text")) == F.col("kept_key"), "left_semi")
+        name = fresh(docs, "kept_id")
+        stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(stays, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
+    name = fresh(docs, "kept_key")
+    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("x")).select(F.col("x.key").alias(name))
+    wordless = found.where("group IS NULL").select(F.col("key").alias(name)).distinct()
+    kept = lambda keys: docs.join(keys, row_key(F.col("doc_id"), F.col("text")) == F.col(name), "left_semi")
     return kept(first).dropDuplicates(["doc_id", "text"]).union(kept(wordless))
