@@ -7,7 +7,9 @@ windows together and counts them exactly; equal windows always meet, as they hav
 
 What travels is thinned exactly, without loss: a minimiser that occurs once has no repeated window; if
 all super-k-mers of a minimiser are equal, all their windows repeat; equal super-k-mers travel once,
-with their number. A bucket with very many different super-k-mers is split by window.
+with their number. A bucket with very many different super-k-mers is split by window: its windows, named
+by 128 bits, are counted by an aggregate that combines them before they are shuffled, so that a passage
+in any number of different contexts is no hot group.
 
 Word codes and the names of super-k-mers are 64-bit hashes.
 """
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import row_key, stash
+from .common import row_key, slices, stash
 
 WINDOW_WORDS = 35
 MINIMISER_WORDS = 8
 MOST_WINDOWS = 32  # of a super-k-mer; longer ones, as in periodic text, are cut
 SPLIT_ABOVE = 256  # different super-k-mers of a bucket
 FLUSH_WINDOWS = 20_000
+SEEN = 100_000
+_OTHER = np.uint64(0xA24BAED4963EE407)
 
 
 class Superkmers:
@@ -75,7 +79,7 @@ def _superkmer_rows(slim: DataFrame, window: int, short: int) -> DataFrame:
     and 128 if the minimiser is in it more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             key = batch.column(0).to_numpy()
             for lo, _, data, offsets in K.chunks(batch.column(1)):
                 s = Superkmers(data, offsets, window, short)
@@ -86,15 +90,22 @@ def _superkmer_rows(slim: DataFrame, window: int, short: int) -> DataFrame:
 
 
 def _packed(wanted: DataFrame, window: int, short: int) -> DataFrame:
-    """From (text, wanted: array of (name, n, split)): (bucket, name, n, first, packed)."""
-    schema = pa.schema([("bucket", pa.int64()), ("name", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("packed", pa.binary())])
+    """From (key, text, asked: array of (name, n, split)): (bucket, name, n, first, packed) for each super-k-mer asked for, and
+    for those to be split a row without packed words for each window, named by bucket and other. A text that comes again in a task makes none."""
+    schema = pa.schema([("bucket", pa.int64()), ("name", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("packed", pa.binary()), ("other", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = batch.column(1)
-            for lo, hi, data, offsets in K.chunks(batch.column(0)):
+        seen: set[int] = set()
+        for batch in slices(batches, 1):
+            keys, asked = batch.column(0).to_pylist(), batch.column(2)
+            for lo, hi, data, offsets in K.chunks(batch.column(1)):
                 s = Superkmers(data, offsets, window, short)
-                want = [{w["name"]: w for w in asked[i].as_py()} for i in range(lo, hi)]
+                want = []
+                for i in range(lo, hi):
+                    want.append({} if keys[i] in seen else {w["name"]: w for w in asked[i].as_py()})
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(keys[i])
                 rows: list[tuple] = []
                 names = s.name.view(np.int64).tolist()
                 for i, (text, name) in enumerate(zip(s.text.tolist(), names, strict=True)):
@@ -103,19 +114,18 @@ def _packed(wanted: DataFrame, window: int, short: int) -> DataFrame:
                         continue
                     first, count = int(s.start[i]), int(s.windows[i])
                     codes = s.codes[first:first + count + window - 1]
-                    if w["split"]:  # each window to a bucket of its own
-                        for j in range(count):
-                            part = codes[j:j + window]
-                            rows.append((int(K.gram_hashes(part, window).view(np.int64)[0]), name, w["n"], j, part.tobytes()))
+                    if w["split"]:
+                        one, two = K.gram_hashes(codes, window).view(np.int64).tolist(), K.gram_hashes(K.mix(codes + _OTHER), window).view(np.int64).tolist()
+                        rows += [(one[j], name, w["n"], j, None, two[j]) for j in range(count)]
                     else:
-                        rows.append((int(s.minimiser[i].astype(np.int64)), name, w["n"], 0, codes.tobytes()))
+                        rows.append((int(s.minimiser[i].astype(np.int64)), name, w["n"], 0, codes.tobytes(), None))
                     if len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return wanted.mapInArrow(run, "bucket bigint, name bigint, n bigint, first int, packed binary")
+    return wanted.mapInArrow(run, "bucket bigint, name bigint, n bigint, first int, packed binary, other bigint")
 
 
 def repeated_windows(rows: list[tuple[int, int, int, int, bytes]], window: int) -> dict[int, int]:
@@ -181,7 +191,7 @@ def removed_words(words: int, marks: list[dict], window: int) -> np.ndarray:
 
 def _kept(marked: DataFrame, window: int, texts: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             marks = batch.column(2)
             n, removed, digest, kept = [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -217,16 +227,21 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     several = stash(
         rows.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("place").bitwiseAND(128)).alias("again"), F.min("name").alias("low"), F.max("name").alias("high"))
         .where("n > 1 OR again > 0").select("minimiser", ((F.col("low") == F.col("high")) & (F.col("n") > 1)).alias("equal")), "minimisers")
-    found = stash(rows.join(several, "minimiser"), "superkmers")
+    # rows that repeat an id and text have the same key: they are counted, but marked once
+    found = stash(rows.join(several, "minimiser").groupBy("minimiser", "name", "key", "place", "equal").agg(F.count(F.lit(1)).alias("copies")), "superkmers")
 
-    distinct = stash(found.where("NOT equal").groupBy("minimiser", "name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")), "distinct")
+    distinct = stash(found.where("NOT equal").groupBy("minimiser", "name").agg(F.sum("copies").alias("n"), F.min("key").alias("key")), "distinct")
     many = distinct.groupBy("minimiser").agg((F.count(F.lit(1)) > SPLIT_ABOVE).alias("split")).where("split")
     asked = (
         distinct.join(many, "minimiser", "left")
         .groupBy("key").agg(F.collect_list(F.struct("name", "n", F.coalesce("split", F.lit(False)).alias("split"))).alias("asked"))
     )
-    packed = _packed(slim.join(asked, "key").select("text", "asked"), window, short)
-    masks = stash(_counted(packed.repartition(F.col("bucket")).sortWithinPartitions("bucket"), window).groupBy("name").agg(F.bit_or("mask").alias("mask")), "masks")
+    made = stash(_packed(slim.join(asked, "key").select("key", "text", "asked"), window, short), "packed")
+    sorted_ = _counted(made.where("packed IS NOT NULL").select("bucket", "name", "n", "first", "packed").repartition(F.col("bucket")).sortWithinPartitions("bucket"), window)
+    alone = made.where("packed IS NULL").select("bucket", "other", "name", "n", "first")
+    again = stash(alone.groupBy("bucket", "other").agg(F.sum("n").alias("n")).where("n > 1").select("bucket", "other"), "again")
+    counted = alone.join(again.hint("merge"), ["bucket", "other"]).select("name", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("first")).alias("mask"))
+    masks = stash(sorted_.union(counted).groupBy("name").agg(F.bit_or("mask").alias("mask")), "masks")
 
     marks = (
         found.where("equal").select("key", "place", F.lit(-1).cast("bigint").alias("mask"))
