@@ -4,13 +4,16 @@ An ARC file starts with a version block whose first line, as those of all record
 declared length of what follows. Version 1 lines have five fields, version 2 lines ten. A converted
 record gets a WARC identifier made from its content and place, an ISO date, a type and digests.
 
-Archives are written by Spark's own writer (one value per record, records end with two line ends) and
-so are committed like any table: a lost executor or a second attempt leaves no half file. They are
-read as whole files by Spark, so any file system that Spark knows will do.
+Archives have a gzip member for each record. They are written by Spark's own writer and so are committed
+like any table: a lost executor or a second attempt leaves no half file (file names are Spark's). They
+are read as whole files by Spark, so any file system that Spark knows will do; a file has records of
+less than 1 MB, 1000 at most, or one larger record alone.
 
 Defined results: a null payload is an empty one; a null url is written as "-"; white space and
-control characters in urls are percent-encoded; a null page_id stays null; of rows that repeat a
-page_id and payload, all with the smallest page_id are responses; an empty table makes no record.
+control characters in urls are percent-encoded; a null page_id stays null; payloads of any length that
+a row can hold are written whole; of rows that repeat a page_id and payload, all with the smallest
+page_id are responses; other columns, whatever their names, are not looked at; an empty table makes no
+record.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
@@ -28,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices, stash
+
 # The fields of the header lines of the two ARC versions.
 FIELDS = {
     1: ("url", "ip-address", "archive-date", "content-type", "archive-length"),
@@ -35,8 +41,10 @@ FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 100
-RECORDS_PER_FILE = 4000
-RECORD_END = "\r\n\r\n"
+RECORDS_PER_FILE = 1000
+LARGE_BYTES = 1 << 20
+MEMBER_BYTES = 8 << 20  # a gzip member says its length in four bytes; under 16 MB the last is 0
+RECORD_END = b"\r\n\r\n"
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:metricloom:arc")
 
 
@@ -217,6 +225,16 @@ def read_warc(stream: BinaryIO) -> Iterator[WarcRecord]:
         yield WarcRecord(head, block)
 
 
+def members(record: bytes) -> bytes:
+    """A record with its end as one gzip member (several if it is very long)."""
+    whole = record + RECORD_END
+    out = []
+    for lo in range(0, len(whole), MEMBER_BYTES):
+        z = zlib.compressobj(4, zlib.DEFLATED, 31)
+        out += [z.compress(whole[lo:lo + MEMBER_BYTES]), z.flush()]
+    return b"".join(out)
+
+
 # ---- Spark ----
 
 def revisit_groups(pages: DataFrame, payload: str = "html") -> DataFrame:
@@ -231,7 +249,7 @@ def revisit_groups(pages: DataFrame, payload: str = "html") -> DataFrame:
 
 
 def to_records(pages: DataFrame, date: str = "20200101000000", version: int | None = None) -> DataFrame:
-    """One WARC record (column ``record``, binary) per row of page_id, url, html, refers_to.
+    """One gzipped WARC record (column ``record``, binary) per row of page_id, url, html, refers_to.
 
     The rows of a batch become an ARC file in memory (version 1 and 2 in turn, or the one asked for),
     and that file goes through the parser and the converter.
@@ -239,9 +257,9 @@ def to_records(pages: DataFrame, date: str = "20200101000000", version: int | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500).to_pylist()
+        for part in slices(batches, 2):
+            for lo in range(0, part.num_rows, 500):
+                rows = part.slice(lo, 500).to_pylist()
                 number = version or 1 + turn % 2
                 turn += 1
                 made = []
@@ -250,23 +268,26 @@ def to_records(pages: DataFrame, date: str = "20200101000000", version: int | No
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
                     made.append((clean_url(r["url"]), date, "text/html", head.encode() + body))
                 archive = read_arc(io.BytesIO(write_arc(number, f"part-{turn}.arc", date, made)))
-                out = [convert(next(archive)).to_bytes()]
+                out = [members(convert(next(archive)).to_bytes())]
                 for r, record in zip(rows, archive, strict=True):
                     page, refers = r["page_id"], r["refers_to"]
                     refers = None if refers is None or refers == page else refers
                     extra = {} if page is None else {"X-Page-Id": str(page)}
                     if refers is not None:
                         extra["X-Refers-To-Page-Id"] = str(refers)
-                    out.append(convert(record, extra, None if page is None else f"page:{page}", None if refers is None else f"page:{refers}").to_bytes())
+                    out.append(members(convert(record, extra, None if page is None else f"page:{page}", None if refers is None else f"page:{refers}").to_bytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "record binary")
 
 
 def write_archives(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write records as gzipped WARC files of at most ``per_file`` records."""
-    (records.select(F.col("record").cast("string").alias("value")).write
-     .option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path))
+    """Write gzipped records as WARC files of at most ``per_file`` records.
+
+    Spark's writer ends each value with a separator: here the last byte of the gzip member, which is 0.
+    """
+    value = F.expr("substring(record, 1, length(record) - 1)").cast("string")
+    records.select(value.alias("value")).write.mode("append").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -298,22 +319,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, record_id string")
 
 
 def archive(pages: DataFrame, path: str) -> DataFrame:
     """Write every row of ``pages`` to WARC files below ``path`` and return what they hold when read again."""
-    from .common import stash
-
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
     groups = stash(revisit_groups(pages), "payloads")
     text = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.withColumn("digest", F.sha2(text, 256))
+    size = F.octet_length(text)
+    # payloads that are never revisited have a key of their own each, so that empty ones are no hot key
+    key = F.when(size >= MIN_REVISIT_BYTES, F.sha2(text, 256)).otherwise(F.concat(F.lit("small "), F.hash("page_id", "url").cast("string")))
+    keyed = pages.withColumn("digest", key).withColumn("large", size >= LARGE_BYTES)
     if groups.isEmpty():
         marked = keyed.withColumn("refers_to", F.lit(None).cast("bigint"))
-    else:  # a payload that many rows share is one key here; AQE splits its partition, the groups have a row for each payload
+    else:  # groups are a written table with a row for each payload, so Spark can split a payload that many rows share
         marked = keyed.join(groups, "digest", "left")
-    write_archives(to_records(marked), path)
+    write_archives(to_records(marked.where("NOT large")), path)
+    if not keyed.where("large").isEmpty():
+        write_archives(to_records(marked.where("large")), path, 1)
     return read_archives(spark, path)
