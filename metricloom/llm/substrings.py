@@ -227,10 +227,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     several = stash(
         rows.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("place").bitwiseAND(128)).alias("again"), F.min("name").alias("low"), F.max("name").alias("high"))
         .where("n > 1 OR again > 0").select("minimiser", ((F.col("low") == F.col("high")) & (F.col("n") > 1)).alias("equal")), "minimisers")
-    # rows that repeat an id and text have the same key: they are counted, but marked once
-    found = stash(rows.join(several, "minimiser").groupBy("minimiser", "name", "key", "place", "equal").agg(F.count(F.lit(1)).alias("copies")), "superkmers")
+    found = stash(rows.join(several, "minimiser"), "superkmers")  # no aggregate behind the join, so that Spark can split a hot minimiser
 
-    distinct = stash(found.where("NOT equal").groupBy("minimiser", "name").agg(F.sum("copies").alias("n"), F.min("key").alias("key")), "distinct")
+    distinct = stash(found.where("NOT equal").groupBy("minimiser", "name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")), "distinct")
     many = distinct.groupBy("minimiser").agg((F.count(F.lit(1)) > SPLIT_ABOVE).alias("split")).where("split")
     asked = (
         distinct.join(many, "minimiser", "left")
@@ -246,7 +245,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     marks = (
         found.where("equal").select("key", "place", F.lit(-1).cast("bigint").alias("mask"))
         .union(found.where("NOT equal").join(masks, "name").select("key", "place", "mask"))
-        .groupBy("key").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
+        .groupBy("key").agg(F.collect_set(F.struct("place", "mask")).alias("marks"))  # rows that repeat an id and text have one key, and are marked once
     )
     marks = stash(marks, "marks")
     return _kept(slim.join(marks, "key", "left").select("doc_id", "text", "marks"), window, texts)
