@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from ..plans.rules import COUNTER, GAUGE, QUANTILES, Options
 
-#: The column of the values that are aggregated.
-VALUE = "value"
 GREATEST = 1.7976931348623157e308
 
 
 def aggregate(agg_type: str, metric_type: str, value: Column, order: Column, options: Options = Options()) -> Column:
     """The aggregate of ``value`` (bigint for counters) that ``agg_type`` names.
 
-    ``order`` says which sample came last. NaN counts and makes sums NaN, but is no minimum or maximum;
+    ``order`` says which sample came last; quantiles are in :func:`quantiles`. NaN counts and makes sums NaN, but is no minimum or maximum;
     a gauge with nothing but NaN keeps the sentinels. Bigint sums that overflow raise an error.
     """
     number = F.lit(True) if metric_type == COUNTER else ~F.isnan(value)
@@ -26,7 +24,7 @@ def aggregate(agg_type: str, metric_type: str, value: Column, order: Column, opt
     elif agg_type == "Sum":
         out = F.sum(value)
     elif agg_type == "SumSq":
-        out = F.sum(value * value)
+        out = F.sum(value.cast("double") * value.cast("double"))  # a counter's square may be no bigint
     elif agg_type == "Mean":
         out = F.sum(value).cast("double") / F.count(value)
     elif agg_type == "Stdev":
@@ -39,17 +37,31 @@ def aggregate(agg_type: str, metric_type: str, value: Column, order: Column, opt
         out = F.coalesce(out, F.lit(-GREATEST)) if metric_type == GAUGE else out
     elif agg_type == "Last":
         out = F.max_by(value, order)
-    elif agg_type in QUANTILES:
-        out = quantile(value, QUANTILES[agg_type], options)
     else:
         out = F.lit(0.0)
     return out.cast("double")
 
 
-def quantile(value: Column, q: float, options: Options = Options()) -> Column:
-    """The value of rank ceil(q n), exactly or by a sketch with rank error ``quantile_eps``; NaN for q outside 0 to 1."""
-    if not 0 <= q <= 1:
-        return F.max(F.lit(math.nan))
+def quantiles(agg_types: tuple[str, ...], value: Column, options: Options = Options()) -> tuple[Column | None, dict[str, Column]]:
+    """One aggregate (named ``ranked``) for all quantiles among ``agg_types``, and how each is read from it.
+
+    A quantile is the value of rank ceil(q n). By default the aggregate is a mergeable sketch with rank
+    error ``quantile_eps``; exact ones sort all values of a group, once for all quantiles.
+    """
+    wanted = [t for t in agg_types if t in QUANTILES]
+    if not wanted:
+        return None, {}
+    ranked = F.col("ranked")
     if options.exact_quantiles:
-        return F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY `{VALUE}`)")
-    return F.percentile_approx(value, q, math.ceil(1 / options.quantile_eps))
+        rank = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.size(ranked)).cast("int"))
+        return F.sort_array(F.collect_list(value)).alias("ranked"), {t: F.try_element_at(ranked, rank(QUANTILES[t])).cast("double") for t in wanted}
+    sketch = F.percentile_approx(value, [QUANTILES[t] for t in wanted], math.ceil(1 / options.quantile_eps))
+    return sketch.alias("ranked"), {t: ranked[i].cast("double") for i, t in enumerate(wanted)}
+
+
+def all_of(agg_types: tuple[str, ...], metric_type: str, value: Column, order: Column, options: Options = Options()) -> tuple[list[Column], dict[str, Column]]:
+    """The aggregates that a group-by needs for ``agg_types``, and the columns to read behind it."""
+    ranked, read = quantiles(agg_types, value, options)
+    plain = [t for t in agg_types if t not in QUANTILES]
+    made = [aggregate(t, metric_type, value, order, options).alias(t) for t in plain]
+    return made + ([] if ranked is None else [ranked]), {t: read[t] if t in read else F.col(t) for t in agg_types}

@@ -15,6 +15,12 @@ def nanos(ts: Column) -> Column:
     return F.expr("1000L") * F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
 
 
+def whole(nanos: Column, unit: int) -> Column:
+    """How many whole units, rounded down; in integers, as doubles can't tell neighbouring nanoseconds apart."""
+    x, n = nanos.cast("bigint"), F.lit(unit).cast("bigint")
+    return F.call_function("div", x - F.pmod(x, n), n)
+
+
 def window_start(ts_nanos: Column, resolution_s: Column) -> Column:
     """Start of the window of ``resolution_s`` that holds the time; windows are counted from year 1, so weeks start on Mondays."""
     r = resolution_s.cast("bigint")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import NANOS
+from ..functions.windows import NANOS, whole
 from ..plans.rules import Options
 
 
@@ -32,8 +31,8 @@ def timed(samples: DataFrame, resolution_s: int, options: Options = Options()) -
 
 def forwarded(samples: DataFrame, resolution_s: int, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """Forwarded samples that come within the delay that their hops allow, and the others."""
-    per_hop = options.max_forwarding_delay_s(resolution_s, 1) * NANOS
-    late = F.col("arrival_nanos") - F.col("ts_nanos") > F.col("num_forwarded") * F.lit(per_hop)
+    first, each = (F.lit(int(s * NANOS)) for s in options.forwarding_delay(resolution_s))
+    late = F.col("arrival_nanos") - F.col("ts_nanos") > first + F.col("num_forwarded") * each
     return split(samples, F.when(late, "arrived_too_late"))
 
 
@@ -44,7 +43,7 @@ def split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 
 def value_rate_limit(samples: DataFrame, limit: int, values: Column | None = None, keys: tuple[str, ...] = ("type", "id")) -> tuple[DataFrame, DataFrame]:
     """At most ``limit`` values per second and series; what is rejected uses up the second's budget, too."""
-    second = F.floor(F.col("arrival_nanos") / NANOS)
+    second = whole(F.col("arrival_nanos"), NANOS)
     running = Window.partitionBy(*keys, second).orderBy("arrival_nanos", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     used = F.sum(F.lit(1) if values is None else values).over(running)
     return split(samples.withColumn("used", used), F.when(F.col("used") > limit, "value_rate_limit"))
@@ -53,33 +52,38 @@ def value_rate_limit(samples: DataFrame, limit: int, values: Column | None = Non
 def new_series_rate_limit(samples: DataFrame, limit: int, shard: Column, warm_up_until_nanos: int = 0) -> DataFrame:
     """``samples`` with ``accepted``: false for those of a series that is new when its shard's second has had ``limit`` tries.
 
-    Goes through each shard in order of arrival; rows stream, what is held is the shard's series.
+    Only a series' first try in a second can get it in, so these are aggregated first. They then go
+    through each shard in order of arrival (tries depend on each other, so a shard is one task), where
+    only the shard's series are held; the times from which series are in go back to the samples by a join.
     """
-    made = samples.withColumn("shard", shard).withColumn("accepted", F.lit(True))
+    made = samples.withColumn("shard", shard)
+    order = F.struct("arrival_nanos", "seq")
+    tries = made.groupBy("shard", "type", "id", whole(F.col("arrival_nanos"), NANOS).alias("second")).agg(F.min(order).alias("first")).select("shard", "type", "id", "second", "first.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = (None, None)
+        now: tuple = (None, None)
         used, known = 0, set()
         for batch in batches:
-            columns = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("shard", "arrival_nanos", "type", "id")}
-            out = np.ones(batch.num_rows, bool)
-            for i, (s, t, kind, name) in enumerate(zip(*columns.values(), strict=True)):
+            columns = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("shard", "second", "arrival_nanos", "type", "id")}
+            got = []
+            for i, (s, second, t, kind, name) in enumerate(zip(*columns.values(), strict=True)):
                 if s != now[0]:
                     known, now = set(), (s, None)
                 if (kind, name) in known:
                     continue
                 if t >= warm_up_until_nanos:
-                    if t // NANOS != now[1]:
-                        now, used = (s, t // NANOS), 0
+                    if second != now[1]:
+                        now, used = (s, second), 0
                     used += 1
                     if used > limit:
-                        out[i] = False
                         continue
                 known.add((kind, name))
-            at = batch.schema.get_field_index("accepted")
-            yield pa.RecordBatch.from_arrays([pa.array(out) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+                got.append(i)
+            yield batch.take(pa.array(got, pa.int64()))
 
-    return made.repartition("shard").sortWithinPartitions("shard", "arrival_nanos", "seq").mapInArrow(run, made.schema)
+    entered = tries.repartition("shard").sortWithinPartitions("shard", "arrival_nanos", "seq").mapInArrow(run, tries.schema)
+    since = entered.select("shard", "type", "id", F.struct("arrival_nanos", "seq").alias("since"))
+    return made.join(since, ["shard", "type", "id"], "left").withColumn("accepted", F.coalesce(order >= F.col("since"), F.lit(False))).drop("since")
 
 
 def writable(now: Column, cutover: Column | int, cutoff: Column | int, before: int, after: int) -> Column:
@@ -109,16 +113,23 @@ def active_metadata(metas: Column, now: Column) -> Column:
 def resolve_metadata(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Untimed samples with ``meta``, the metadata that they are aggregated under, and rejects.
 
-    A sample whose metadata is older than what its series already has is aggregated under the newer.
-    Tombstoned samples are dropped without a reason and leave the series as it is.
+    A sample whose metadata is older than what its series already has is aggregated under the newer (of
+    several with one cutover, the one that was new last). Tombstoned samples are dropped without a
+    reason and leave the series as it is. A series' samples need not stand together: what is
+    gathered by series is only when it first had each of its metadata.
     """
     live = samples.withColumn("own", F.when(F.size("metas") > 0, active_metadata(F.col("metas"), F.col("arrival_nanos"))))
     reason = F.when(F.coalesce(F.size("metas"), F.lit(0)) < 1, "empty_metadatas").when(F.col("own").isNull(), "no_applicable_metadata").when(
         ~F.col("own.tombstoned") & (F.coalesce(F.size("own.pipelines"), F.lit(0)) < 1), "no_pipelines")
     good, bad = split(live, reason)
-    so_far = Window.partitionBy("type", "id").orderBy("arrival_nanos", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    newest = F.max_by("own", F.struct("own.cutover_nanos", "arrival_nanos", "seq")).over(so_far)
-    return good.where("NOT own.tombstoned").withColumn("meta", newest).drop("own"), bad.drop("own")
+    untombstoned = good.where("NOT own.tombstoned")
+    order = F.struct("arrival_nanos", "seq")
+    changes = good.groupBy("type", "id", "own").agg(F.min(order).alias("since"))
+    by_series = changes.groupBy("type", "id").agg(F.collect_list(F.struct(F.col("own.cutover_nanos").alias("cutover"), "since", "own")).alias("changes"))
+    newer = F.filter("changes", lambda c: (c["since"] <= order) & (c["cutover"] > F.col("own.cutover_nanos")))
+    newest = F.array_max(F.transform(newer, lambda c: F.struct(c["cutover"].alias("cutover"), c["since"].alias("since"), c["own"].alias("own"))))
+    resolved = untombstoned.join(by_series, ["type", "id"]).withColumn("meta", F.coalesce(newest["own"], F.col("own")))
+    return resolved.drop("own", "changes"), bad.drop("own")
 
 
 def first_from_each_source(forwarded: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import aggregate as aggregate_of
+from ..functions.aggregates import all_of
 from ..functions.windows import NANOS, window_start
 from ..plans.rules import COUNTER, DEFAULT_POLICIES, DEFAULT_TYPES, Options, StoragePolicy, check_types, suffix
 
@@ -31,19 +31,23 @@ def in_windows(samples: DataFrame, aligned: bool = False) -> DataFrame:
     return samples.withColumn("window_nanos", start if aligned else start + F.col("resolution_s") * F.lit(NANOS))
 
 
-def typed_value(metric_type: str) -> Column:
-    """Counters take whole numbers: fractions are cut off, what is no number is skipped."""
-    return F.expr("try_cast(value AS bigint)") if metric_type == COUNTER else F.col("value")
+def typed_value(samples: DataFrame, metric_type: str) -> Column:
+    """Counters take whole numbers: ``whole`` where samples have that column, else fractions are cut off, and what is no number is skipped."""
+    if metric_type != COUNTER:
+        return F.col("value")
+    cut = F.expr("try_cast(value AS bigint)")
+    return F.coalesce("whole", cut) if "whole" in samples.columns else cut
 
 
 def aggregate(samples: DataFrame, metric_type: str, agg_types: tuple[str, ...] = (), policies: tuple[StoragePolicy, ...] = (), options: Options = Options(), aligned: bool = False, fanned: bool = False) -> DataFrame:
     """A row for each series, policy, window and aggregation type: WINDOW_KEYS, agg_type, agg_order, value."""
     types = check_types(metric_type, agg_types)
-    own = samples.where(F.col("type") == metric_type).withColumn("value", typed_value(metric_type)).where("value IS NOT NULL")
+    own = samples.where(F.col("type") == metric_type).withColumn("value", typed_value(samples, metric_type)).where("value IS NOT NULL")
     ready = in_windows(own if fanned else fan_out(own, policies), aligned)
     order = F.struct("arrival_nanos", "seq")
-    wide = ready.groupBy(*WINDOW_KEYS).agg(*[aggregate_of(t, metric_type, F.col("value"), order, options).alias(t) for t in types])
-    rows = F.array(*[F.struct(F.lit(t).alias("agg_type"), F.lit(i).alias("agg_order"), F.col(t).alias("value")) for i, t in enumerate(types)])
+    made, read = all_of(types, metric_type, F.col("value"), order, options)
+    wide = ready.groupBy(*WINDOW_KEYS).agg(*made)
+    rows = F.array(*[F.struct(F.lit(t).alias("agg_type"), F.lit(i).alias("agg_order"), read[t].alias("value")) for i, t in enumerate(types)])
     return wide.select(*WINDOW_KEYS, F.inline(rows))
 
 

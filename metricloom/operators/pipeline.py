@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.windows import NANOS
-from ..plans.rules import Options, Rollup, StoragePolicy, Transformation, parse_pipeline
+from ..plans.rules import Options, Rollup, StoragePolicy, Transformation, stages
 from . import aggregate as A
 
 SERIES = ["type", "id", "resolution_s", "retention_s", "agg_type"]
@@ -46,17 +46,13 @@ def roll_up(rows: DataFrame, rollup: Rollup, options: Options = Options()) -> Da
 def run(samples: DataFrame, metric_type: str, agg_types: tuple[str, ...], policies: tuple[StoragePolicy, ...], ops: tuple, options: Options = Options()) -> DataFrame:
     """Aggregated rows at the end of a pipeline: aggregate, transform, roll up, and again with what travels on.
 
-    The metric type stays the same over all stages, so a counter's rollup cuts off fractions.
+    The metric type stays the same over all stages, so a counter's rollup cuts off fractions. Operations
+    that no rollup follows are an error, as in the rules.
     """
-    parsed = parse_pipeline(ops)
     rows = A.aggregate(samples, metric_type, agg_types, policies, options)
-    while parsed.rollup:
-        moved = roll_up(transform(rows, parsed.head, options), parsed.rollup, options)
-        agg_types = parsed.rollup.agg_types
-        rows = A.aggregate(moved, metric_type, agg_types, options=options, aligned=True, fanned=True)
-        if parsed.remainder and not any(isinstance(op, Rollup) for op in parsed.remainder):
-            return transform(rows, parsed.remainder, options)
-        parsed = parse_pipeline(parsed.remainder)
+    for stage in stages(ops):
+        moved = roll_up(transform(rows, stage.head, options), stage.rollup, options)
+        rows = A.aggregate(moved, metric_type, stage.rollup.agg_types, options=options, aligned=True, fanned=True)
     return rows
 
 

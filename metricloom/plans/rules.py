@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass, field
 
@@ -102,6 +101,15 @@ def parse_pipeline(ops: tuple) -> ParsedPipeline:
     return ParsedPipeline(head, ops[at], tuple(ops[at + 1:]))
 
 
+def stages(ops: tuple) -> list[ParsedPipeline]:
+    """The stages of a pipeline, one for each rollup; what follows the last rollup must be nothing."""
+    out = []
+    while ops:
+        out.append(parse_pipeline(ops))
+        ops = out[-1].remainder
+    return out
+
+
 def check_types(metric_type: str, agg_types: tuple[str, ...]) -> tuple[str, ...]:
     """The aggregation types to compute: the metric type's defaults if none is given; each once, in order."""
     if metric_type not in METRIC_TYPES:
@@ -129,24 +137,18 @@ class StagedMetadata:
 
 
 @dataclass(frozen=True)
-class AggregationKey:
-    """What a sample is aggregated under; equal keys are one aggregation."""
-
-    agg_types: tuple[str, ...]
-    policy: StoragePolicy
-    ops: tuple = ()
-    hops: int = 0
-    bare_id: bool = False
-
-    def canonical(self) -> str:
-        ops = [[type(op).__name__, *([op.kind] if isinstance(op, Transformation) else [op.id, list(op.agg_types)])] for op in self.ops]
-        return json.dumps([list(self.agg_types), self.policy.resolution_s, self.policy.retention_s, ops, self.hops, self.bare_id], separators=(",", ":"))
+class JitterBucket:
+    flush_interval_s: int
+    max_jitter_percent: float
 
 
-def aggregation_keys(metadata: StagedMetadata) -> list[AggregationKey]:
-    """Pipelines x policies, defaults filled in, each key once."""
-    keys = [AggregationKey(p.agg_types, policy, p.ops) for p in metadata.pipelines for policy in (p.policies or DEFAULT_POLICIES)]
-    return list(dict.fromkeys(keys))
+def max_jitter_s(interval_s: int, buckets: list[JitterBucket]) -> float:
+    """Jitter of a flush interval: that of the first bucket at least as long, else of the last."""
+    if not buckets:
+        return 0.0
+    ordered = sorted(buckets, key=lambda b: b.flush_interval_s)
+    chosen = next((b for b in ordered if interval_s <= b.flush_interval_s), ordered[-1])
+    return chosen.max_jitter_percent * interval_s
 
 
 @dataclass(frozen=True)
@@ -156,17 +158,30 @@ class Options:
     prefixes: dict[str, str] = field(default_factory=lambda: dict(PREFIXES))
     discard_nan: bool = True
     keep_resets: bool = False  # a derivative below 0 is NaN unless this is set
-    exact_quantiles: bool = True
+    exact_quantiles: bool = False  # exact ones hold all values of a group; the sketch has a bounded size
     quantile_eps: float = 1e-3
     buffer_future_s: int = 60
     buffer_past_extra_s: int = 60
-    max_single_delay_s: int = 0  # with the resolution added per hop if 0
+    max_single_delay_s: float | None = None  # None: a resolution for each hop
+    jitter: tuple[JitterBucket, ...] | None = None  # None: flushing may start anywhere in a resolution
+
+    def __post_init__(self) -> None:
+        if not 0 < self.quantile_eps < 0.5:
+            raise RuleError("the rank error of quantiles is above 0 and below 0.5")
 
     def buffer_past_s(self, resolution_s: int) -> int:
         return resolution_s + self.buffer_past_extra_s
 
-    def max_forwarding_delay_s(self, resolution_s: int, hops: int) -> int:
-        return (self.max_single_delay_s or resolution_s) * hops
+    def forwarding_delay(self, resolution_s: int) -> tuple[float, float]:
+        """Seconds that forwarded samples may take: before the first hop, and for each hop."""
+        if self.max_single_delay_s is None:
+            return 0.0, float(resolution_s)
+        first = resolution_s if self.jitter is None else max_jitter_s(resolution_s, list(self.jitter))
+        return float(first), float(self.max_single_delay_s)
+
+    def max_forwarding_delay_s(self, resolution_s: int, hops: int) -> float:
+        first, each = self.forwarding_delay(resolution_s)
+        return first + each * hops
 
 
 def suffix(metric_type: str, agg_type: str, only_default: bool) -> str:
@@ -174,20 +189,29 @@ def suffix(metric_type: str, agg_type: str, only_default: bool) -> str:
     return "" if metric_type != TIMER and only_default else SUFFIXES[agg_type]
 
 
-@dataclass(frozen=True)
-class JitterBucket:
-    flush_interval_s: int
-    max_jitter_percent: float
-
-
-def max_jitter_s(interval_s: int, buckets: list[JitterBucket]) -> float:
-    """Jitter of a flush interval: that of the first bucket at least as long, else of the last."""
-    if not buckets:
-        return 0.0
-    ordered = sorted(buckets, key=lambda b: b.flush_interval_s)
-    chosen = next((b for b in ordered if interval_s <= b.flush_interval_s), ordered[-1])
-    return chosen.max_jitter_percent * interval_s
-
-
 def per_shard_limit(cluster_limit: int, shards: int, replicas: int) -> int:
     return -(-cluster_limit // (shards * replicas))
+
+
+@dataclass
+class RuntimeLimits:
+    """Limits that may change while the engine runs: a batch is admitted under what holds when it begins."""
+
+    values_per_second: int = 0  # 0: none
+    new_series_per_second: int = 0
+    warm_up_s: int = 0
+    watchers: list = field(default_factory=list, repr=False)
+
+    def update(self, **limits: int) -> None:
+        for name, value in limits.items():
+            if name not in ("values_per_second", "new_series_per_second", "warm_up_s") or value < 0:
+                raise RuleError(f"no such limit: {name}={value}")
+        for name, value in limits.items():
+            setattr(self, name, value)
+        for watch in self.watchers:
+            watch(self)
+
+    def watch(self, each) -> None:
+        """Call ``each`` with the limits now and after every change."""
+        self.watchers.append(each)
+        each(self)

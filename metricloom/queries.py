@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sharding, tdigest
-from .functions.windows import NANOS, window_start
+from .functions.windows import NANOS, whole, window_start
 from .operators import admission
 from .operators import aggregate as A
+from .operators import governed as G
 from .operators import pipeline as P
 from .plans import rules as R
 from .sources import samples as S
 
 KEEP_NAN = R.Options(discard_nan=False)
+EXACT = R.Options(exact_quantiles=True)  # what the SQL beside the queries computes
 SHARDS = 1024
 T0 = 1704067200 * NANOS  # 2024-01-01
 
@@ -84,7 +86,7 @@ def rate_sql(rows: str) -> str:
 
 def simple(name: str, source: str, metric_type: str, read, types: tuple[str, ...] = (), policies: tuple[str, ...] = ("1h:40d",)) -> None:
     chosen, each = R.check_types(metric_type, types), R.policies(*policies) if policies else R.DEFAULT_POLICIES
-    QUERIES[name] = lambda spark, d: rounded(A.untimed(read(spark, d), metric_type, types, R.policies(*policies) if policies else ()))
+    QUERIES[name] = lambda spark, d: rounded(A.untimed(read(spark, d), metric_type, types, R.policies(*policies) if policies else (), EXACT))
     ORACLES[name] = named_sql(windows_sql(SOURCES[source], chosen, each), metric_type, chosen)
 
 
@@ -109,7 +111,7 @@ simple("id_naming", "T", R.TIMER, S.shipping_timers, ("Min", "P99", "Count"), ("
     "SELECT 'orders.' || o_orderpriority AS id, unnest(v) AS value, epoch_us(date_trunc('day', d)) * 1000 AS t, 0 AS seq FROM (SELECT o_orderpriority, date_trunc('day', o_orderdate) AS d, list(o_totalprice) AS v FROM orders GROUP BY ALL)",
     ("Sum", "Count", "P95", "Max"), R.policies("30d:400d")), R.TIMER, ("Sum", "Count", "P95", "Max")))
 def timer_batch_explode(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.untimed(S.values_of(S.order_batches(spark, d)), R.TIMER, ("Sum", "Count", "P95", "Max"), R.policies("30d:400d")))
+    return rounded(A.untimed(S.values_of(S.order_batches(spark, d)), R.TIMER, ("Sum", "Count", "P95", "Max"), R.policies("30d:400d"), EXACT))
 
 
 @query("coarse_from_fine", f"""SELECT id, CAST(w AS BIGINT) AS window_nanos, n AS "count", s AS "sum", mn AS "min", mx AS "max", l AS "last" FROM (
@@ -176,14 +178,14 @@ LIMITED = f"SELECT *, sum(n) OVER (PARTITION BY id, t // (3600 * {NS}) ORDER BY
 @query("value_rate_limit", f"SELECT id, seq AS event_id FROM ({LIMITED}) WHERE used <= 8")
 def value_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     # an hour counts as a second here: the events are far apart
-    c = S.event_counters(spark, d).withColumn("arrival_nanos", F.floor(F.col("ts_nanos") / 3600).cast("bigint"))
+    c = S.event_counters(spark, d).withColumn("arrival_nanos", whole(F.col("ts_nanos"), 3600))
     good, _ = admission.value_rate_limit(c, 8, 1 + F.col("seq") % 3)
     return good.select("id", F.col("seq").alias("event_id"))
 
 
 @query("new_series_rate_limit")
 def new_series_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    g = S.event_gauges(spark, d).withColumn("arrival_nanos", F.floor(F.col("ts_nanos") / 3600).cast("bigint"))
+    g = S.event_gauges(spark, d).withColumn("arrival_nanos", whole(F.col("ts_nanos"), 3600))
     return admission.new_series_rate_limit(g, 2, sharding.shard(F.col("id"), 4)).where("accepted").select("id", F.col("seq").alias("event_id"))
 
 
@@ -273,6 +275,73 @@ def duplicate_keys_once(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.named(A.aggregate(by_metadata(good), R.COUNTER, fanned=True), R.COUNTER))
 
 
+# ---- aggregation driven by metadata ----
+
+def _rolled(rows: str, types: tuple[str, ...], policy: str, cast: str = "value", rollup: str = "all") -> str:
+    return windows_sql(f"SELECT '{rollup}' AS id, {cast} AS value, w, w AS t, 0 AS seq FROM ({rows}) WHERE NOT isnan(value)", types, R.policies(policy), at="w")
+
+
+_HOP1 = _rolled(windows_sql(SOURCES["C"], ("Sum",), R.policies("1h:2d")), ("Sum", "Count"), "1h:2d", rollup="hop1")
+_HOP2_SQL = _rolled(_HOP1, ("Max", "Count"), "1h:2d", "CAST(trunc(value) AS BIGINT)", "hop2")
+_RATED_SQL = _rolled(rate_sql(f"SELECT * REPLACE (abs(value) AS value) FROM ({windows_sql(SOURCES['C'], ('Sum',), R.policies('1d:40d'))})"), ("Sum",), "1d:40d", "CAST(trunc(value) AS BIGINT)")
+
+
+def _pipes(*pipelines: R.PipelineMetadata, cutover: int = 0) -> R.StagedMetadata:
+    return R.StagedMetadata(cutover, False, pipelines)
+
+
+def governed(samples: DataFrame, *metas: R.StagedMetadata) -> DataFrame:
+    good, _ = admission.resolve_metadata(samples.withColumn("metas", G.metadata(metas)))
+    return G.untimed(good)
+
+
+@query("metadata_driven_types", " UNION ALL ".join([
+    named_sql(windows_sql(SOURCES["G"], ("Sum", "Max"), R.policies("1d:40d"), "seq % 2 = 0"), R.GAUGE, ("Sum", "Max")),
+    named_sql(windows_sql(SOURCES["G"], ("Last",), R.policies("6h:2d", "1d:40d"), "seq % 2 = 0"), R.GAUGE, ("Last",)),
+    named_sql(windows_sql(SOURCES["C"], ("Count",), R.policies("1h:2d")), R.COUNTER, ("Count",)),
+    named_sql(windows_sql(SOURCES["T"], ("Max", "P95"), R.policies("30d:400d")), R.TIMER, ("Max", "P95"))]))
+def metadata_driven_types(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of all types, each with rules of its own in its rows: types and policies, some of them twice, some for half of the samples."""
+    g = S.event_gauges(spark, d).where("seq % 2 = 0")
+    P_ = R.PipelineMetadata
+    gauges = governed(g, _pipes(P_(("Sum", "Max"), R.policies("1d:40d")), P_((), R.policies("6h:2d", "1d:40d", "6h:2d")), P_(("Sum", "Max", "Sum"), R.policies("1d:40d"))))
+    counters = governed(S.event_counters(spark, d), _pipes(P_(("Count",), R.policies("1h:2d"))))
+    timers = governed(S.shipping_timers(spark, d), _pipes(P_(("Max", "P95"), R.policies("30d:400d"))))
+    return rounded(G.run(gauges.unionByName(counters).unionByName(timers), 0, EXACT))
+
+
+@query("metadata_driven_pipelines", " UNION ALL ".join([
+    named_sql(_HOP2_SQL, R.COUNTER, ("Max", "Count")), named_sql(windows_sql(SOURCES["C"], ("Sum",), R.policies("1h:2d")), R.COUNTER, ("Sum",)),
+    named_sql(_RATED_SQL, R.COUNTER, ("Sum",))]))
+def metadata_driven_pipelines(spark: SparkSession, d: str) -> DataFrame:
+    """Three pipelines in one metadata: none, two rollups, and a derivative before a rollup."""
+    P_, hour = R.PipelineMetadata, R.policies("1h:2d")
+    two = (R.Rollup("hop1", ("Sum", "Count")), R.Rollup("hop2", ("Max", "Count")))
+    rated = (R.Transformation("Absolute"), R.Transformation("PerSecond"), R.Rollup("all"))
+    keyed = governed(S.event_counters(spark, d).withColumn("value", F.expr("try_cast(value AS bigint)") * 1.0), _pipes(P_((), hour), P_((), hour, two), P_((), R.policies("1d:40d"), rated)))
+    return rounded(G.run(keyed, 2))
+
+
+@query("entry_categories", " UNION ALL ".join([
+    named_sql(windows_sql(f"SELECT 'same' AS id, value, t, seq FROM ({SOURCES['G']}) WHERE seq % 3 = 0", ("Sum",), R.policies("1d:40d")), R.GAUGE, ("Sum",)),
+    named_sql(windows_sql(f"SELECT 'same' AS id, value, t, seq FROM ({SOURCES['G']}) WHERE seq % 3 = 1", ("Sum",), R.policies("1d:40d")), R.GAUGE, ("Sum",), bare=True),
+    named_sql(windows_sql(f"SELECT 'same' AS id, value, {start_sql('t', 86400)} AS w, t, seq, 1 + seq % 2 AS hops FROM ({SOURCES['G']}) WHERE seq % 3 = 2", ("Sum",), R.policies("1d:40d"), "hops = 1", at="w"), R.GAUGE, ("Sum",)),
+    named_sql(windows_sql(f"SELECT 'same' AS id, value, {start_sql('t', 86400)} AS w, t, seq, 1 + seq % 2 AS hops FROM ({SOURCES['G']}) WHERE seq % 3 = 2", ("Sum",), R.policies("1d:40d"), "hops = 2", at="w"), R.GAUGE, ("Sum",))]))
+def entry_categories(spark: SparkSession, d: str) -> DataFrame:
+    """One id and type as untimed, timed and forwarded samples over one or two hops: four aggregations, not one."""
+    g = S.event_gauges(spark, d).withColumn("id", F.lit("same"))
+    own = {"agg_types": F.array(F.lit("Sum")), "resolution_s": F.lit(86400).cast("bigint"), "retention_s": F.lit(3456000).cast("bigint")}
+    plain = governed(g.where("seq % 3 = 0"), _pipes(R.PipelineMetadata(("Sum",), R.policies("1d:40d"))))
+    timed = G.timed(g.where("seq % 3 = 1").withColumns(own))
+    moved = G.forwarded(g.where("seq % 3 = 2").withColumns(own | {"ts_nanos": window_start(F.col("ts_nanos"), F.lit(86400)), "ops": F.array().cast(f"array<{S.OP}>"), "num_forwarded": (1 + F.col("seq") % 2).cast("int")})).drop("num_forwarded")
+    return rounded(G.run(plain.unionByName(timed).unionByName(moved), 0))
+
+
+@query("forwarding_latency", f"""SELECT hops AS num_forwarded, CAST(least(40, floor(greatest(0, a - w) / (2.0 * 3600 * hops * 1e9 / 40))) AS INTEGER) AS bucket, count(*) AS n FROM ({FORWARDED}) GROUP BY 1, 2""")
+def forwarding_latency(spark: SparkSession, d: str) -> DataFrame:
+    return G.latency(forwarded(spark, d), 3600).select("num_forwarded", "bucket", "n")
+
+
 # ---- transformations and rollups ----
 
 def _signed(spark: SparkSession, d: str) -> DataFrame:
@@ -312,10 +381,6 @@ def nan_discard(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.when(F.isnan("value"), "nan").otherwise("number").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _rolled(rows: str, types: tuple[str, ...], policy: str, cast: str = "value", rollup: str = "all") -> str:
-    return windows_sql(f"SELECT '{rollup}' AS id, {cast} AS value, w, w AS t, 0 AS seq FROM ({rows}) WHERE NOT isnan(value)", types, R.policies(policy), at="w")
-
-
 _RATES = rate_sql(windows_sql(SOURCES["G"], ("Sum",), R.policies("1d:40d")))
 
 
@@ -324,10 +389,7 @@ def rollup_sum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.output(S.event_gauges(spark, d), R.GAUGE, ("Sum",), R.policies("1d:40d"), (PER_SECOND, R.Rollup("all", ("Sum",)))))
 
 
-_HOP1 = _rolled(windows_sql(SOURCES["C"], ("Sum",), R.policies("1h:2d")), ("Sum", "Count"), "1h:2d", rollup="hop1")
-
-
-@query("rollup_two_hop", named_sql(_rolled(_HOP1, ("Max", "Count"), "1h:2d", "CAST(trunc(value) AS BIGINT)", "hop2"), R.COUNTER, ("Max", "Count")))
+@query("rollup_two_hop", named_sql(_HOP2_SQL, R.COUNTER, ("Max", "Count")))
 def rollup_two_hop(spark: SparkSession, d: str) -> DataFrame:
     """Both of the first hop's types feed the second, without a label."""
     return rounded(P.output(S.event_counters(spark, d), R.COUNTER, (), R.policies("1h:2d"), (R.Rollup("hop1", ("Sum", "Count")), R.Rollup("hop2", ("Max", "Count")))))

@@ -36,9 +36,9 @@ def branch(messages: DataFrame, *kinds: str) -> DataFrame:
 
 
 def values_of(untimed: DataFrame) -> DataFrame:
-    """One row per value of a counter, gauge or batch timer (an empty batch has none)."""
+    """One row per value of a counter, gauge or batch timer (an empty batch has none); a counter's whole number is in ``whole``, too, as not every bigint is a double."""
     values = F.when(F.col("type") == COUNTER, F.array(F.col("counter").cast("double"))).when(F.col("type") == TIMER, F.col("timer")).otherwise(F.array("gauge"))
-    return untimed.withColumn("value", F.explode(values)).drop("counter", "timer", "gauge")
+    return untimed.withColumn("value", F.explode(values)).withColumn("whole", F.when(F.col("type") == COUNTER, F.col("counter"))).drop("counter", "timer", "gauge")
 
 
 def check_metric_type(samples: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,20 +49,29 @@ def with_shard(df: DataFrame, shards: int) -> DataFrame:
     return df.withColumn("shard", shard(F.col("metric_id"), shards))
 
 
+def _once(df: DataFrame, path: str, batch: int, fmt: str, by: tuple[str, ...] = ()) -> None:
+    """Write a batch to a folder of its own, unless it has been written: then Spark tries it a second time."""
+    spark, folder = df.sparkSession, f"{path.rstrip('/')}/batch={batch}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").partitionBy(*by).format(fmt).save(folder)
+
+
 def sharded_files(path: str, shards: int, only: set[int] | None = None, fmt: str = "parquet") -> Sink:
-    """Files in a folder for each shard; ``only`` keeps the shards that a consumer asks for."""
+    """Files in a folder for each batch and shard; ``only`` keeps the shards that a consumer asks for. Each batch is written once."""
 
     def write(df: DataFrame, batch: int) -> None:
-        out = with_shard(df, shards)
+        out = df if "shard" in df.columns else with_shard(df, shards)
         if only is not None:
             out = out.where(F.col("shard").isin(*sorted(only)))
-        out.write.mode("append").partitionBy("shard").format(fmt).save(path)
+        _once(out, path, batch, fmt, ("shard",))
 
     return write
 
 
 def files(path: str, fmt: str = "parquet") -> Sink:
-    return lambda df, _: df.write.mode("append").format(fmt).save(path)
+    """Files in a folder for each batch. Each batch is written once."""
+    return lambda df, batch: _once(df, path, batch, fmt)
 
 
 def kafka(servers: str, topic: str) -> Sink:
@@ -127,4 +136,5 @@ def from_config(config: dict) -> Sink:
         seen += shard_set(g["set"])
     if sorted(seen) != list(range(total)):
         raise SinkConfigError("each shard belongs to one path")
-    return broadcast(*[sharded_files(g["path"], total, shard_set(g["set"])) for g in groups])
+    every = broadcast(*[sharded_files(g["path"], total, shard_set(g["set"])) for g in groups])
+    return lambda df, batch: every(with_shard(df, total), batch)  # shards are worked out once for all groups

@@ -1,10 +1,13 @@
-"""Streaming: windows closed by watermark, derivatives by keyed state, and the engine around them.
+"""Streaming: admission, metadata and limits by keyed state, windows closed by watermark, derivatives, rollups, and the engine around them.
 
-Metadata versions and the limits of values and new series (``operators.admission``) run in batch only.
+Spark runs no keyed state of these kinds behind an aggregation in one query, and each hop of a rollup has
+its own delay anyway: so a chain is several queries, each reading what the one before has written. The
+limit of new series (``operators.admission``) runs in batch only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -13,35 +16,106 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.aggregates import aggregate as aggregate_of
-from ..functions.windows import NANOS, SECONDS_BEFORE_1970
+from ..functions.aggregates import all_of
+from ..functions.windows import NANOS, SECONDS_BEFORE_1970, whole
 from ..operators import aggregate as A
-from ..plans.rules import Options, StoragePolicy, check_types
+from ..operators.admission import active_metadata
+from ..operators.admission import forwarded as admit_forwarded
+from ..operators.admission import timed as admit_timed
+from ..operators.pipeline import roll_up
+from ..plans.rules import Options, Rollup, RuntimeLimits, StoragePolicy, check_types
 
 
 def with_time(samples: DataFrame) -> DataFrame:
     """A timestamp column ``ts`` for windows and watermarks, from ts_nanos."""
-    return samples.withColumn("ts", F.timestamp_micros(F.floor(F.col("ts_nanos") / 1000)))
+    return samples.withColumn("ts", F.timestamp_micros(whole(F.col("ts_nanos"), 1000)))
 
 
-def windowed(samples: DataFrame, metric_type: str, agg_types: tuple[str, ...], policy: StoragePolicy, options: Options = Options(), delay_s: int | None = None) -> DataFrame:
+def windowed(samples: DataFrame, metric_type: str, agg_types: tuple[str, ...], policy: StoragePolicy, options: Options = Options(), delay_s: int | None = None, aligned: bool = False) -> DataFrame:
     """Output rows of closed windows (append mode): the streaming form of ``operators.aggregate.untimed``.
 
     The watermark only says when a window is closed; which samples are taken is decided before, row by
-    row. The delay defaults to the past buffer of the policy.
+    row. The delay defaults to the past buffer of the policy. Forwarded samples are ``aligned``: they keep
+    their time.
     """
     types = check_types(metric_type, agg_types)
     r = policy.resolution_s
     delay = options.buffer_past_s(r) if delay_s is None else delay_s
-    own = with_time(samples).where(F.col("type") == metric_type).withColumn("value", A.typed_value(metric_type)).where("value IS NOT NULL")
+    own = with_time(samples).where(F.col("type") == metric_type).withColumn("value", A.typed_value(samples, metric_type)).where("value IS NOT NULL")
     start = f"{-SECONDS_BEFORE_1970 % r} seconds"
     grouped = own.withWatermark("ts", f"{delay} seconds").groupBy("type", "id", F.window("ts", f"{r} seconds", f"{r} seconds", start).alias("w"))
-    wide = grouped.agg(*[aggregate_of(t, metric_type, F.col("value"), F.struct("arrival_nanos", "seq"), options).alias(t) for t in types])
-    rows = F.array(*[F.struct(F.lit(t).alias("agg_type"), F.lit(i).alias("agg_order"), F.col(t).alias("value")) for i, t in enumerate(types)])
-    keyed = wide.select("type", "id", F.lit(r).cast("bigint").alias("resolution_s"), F.lit(policy.retention_s).cast("bigint").alias("retention_s"), (F.unix_micros("w.end") * 1000).alias("window_nanos"), F.inline(rows))
+    made, read = all_of(types, metric_type, F.col("value"), F.struct("arrival_nanos", "seq"), options)
+    wide = grouped.agg(*made)
+    rows = F.array(*[F.struct(F.lit(t).alias("agg_type"), F.lit(i).alias("agg_order"), read[t].alias("value")) for i, t in enumerate(types)])
+    keyed = wide.select("type", "id", F.lit(r).cast("bigint").alias("resolution_s"), F.lit(policy.retention_s).cast("bigint").alias("retention_s"), (F.unix_micros("w.start" if aligned else "w.end") * 1000).alias("window_nanos"), F.inline(rows))
     return keyed
 
 
+_SAMPLE = "type string, id string, value double, ts_nanos bigint, arrival_nanos bigint, seq bigint"
+
+
+def by_newest_metadata(samples: DataFrame, metas: str = "metas") -> DataFrame:
+    """The streaming form of ``operators.admission.resolve_metadata``: samples with ``meta`` as JSON; rejects and tombstoned ones are left out.
+
+    What a series keeps is its newest metadata; samples of one micro-batch go in order of arrival.
+    """
+    own = active_metadata(F.col(metas), F.col("arrival_nanos"))
+    good = samples.withColumn("own", own).where("own IS NOT NULL AND (own.tombstoned OR size(own.pipelines) > 0)")
+    slim = good.select("type", "id", "value", "ts_nanos", "arrival_nanos", "seq", F.col("own.cutover_nanos").alias("cutover"), F.col("own.tombstoned").alias("tombstoned"), F.to_json("own").alias("meta"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["arrival_nanos", "seq"])
+        newest, meta = state.get if state.exists else (None, None)
+        metas = []
+        for cutover, own in zip(rows["cutover"], rows["meta"], strict=True):
+            if newest is None or cutover >= newest:
+                newest, meta = int(cutover), own
+            metas.append(meta)
+        state.update((newest, meta))
+        rows["meta"] = metas
+        yield rows[~rows["tombstoned"]][["type", "id", "value", "ts_nanos", "arrival_nanos", "seq", "meta"]]
+
+    return slim.groupBy("type", "id").applyInPandasWithState(step, _SAMPLE + ", meta string", "cutover bigint, meta string", "append", GroupStateTimeout.NoTimeout)
+
+
+def value_rate_limit(samples: DataFrame, limits: RuntimeLimits) -> DataFrame:
+    """The streaming form of ``operators.admission.value_rate_limit``: the samples that are taken.
+
+    What a series keeps is its last second and what that has used. Samples of a second that is over are
+    held against nothing but each other. The limit is the one that holds when the query starts.
+    """
+    limit = limits.values_per_second
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["arrival_nanos", "seq"])
+        second = rows["arrival_nanos"] // NANOS
+        used = rows.groupby(second).cumcount() + 1
+        if state.exists:
+            last, before = state.get
+            used = used + (second == last) * before
+        last = int(second.iloc[-1])
+        state.update((last, int(used[second == last].max())))
+        yield rows[used <= limit] if limit else rows
+
+    slim = samples.select("type", "id", "value", "ts_nanos", "arrival_nanos", "seq")
+    return slim.groupBy("type", "id").applyInPandasWithState(step, _SAMPLE, "second bigint, used bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def admitted(samples: DataFrame, resolution_s: int, options: Options = Options(), forwarded: bool = False) -> DataFrame:
+    """Timed or forwarded samples within their buffers; these filters look at one row each, so they are those of the batch form."""
+    return (admit_forwarded if forwarded else admit_timed)(samples, resolution_s, options)[0]
+
+
+def hop(rows: DataFrame, rollup: Rollup, metric_type: str, policy: StoragePolicy, options: Options = Options(), delay_s: int | None = None) -> DataFrame:
+    """The next stage of a pipeline: closed windows (a stream over what the stage before has written) rolled up.
+
+    Absolute values and rates come before it (``operators.pipeline.absolute``, :func:`rates`). The delay
+    defaults to what a single hop may take.
+    """
+    delay = math.ceil(options.max_forwarding_delay_s(policy.resolution_s, 1)) if delay_s is None else delay_s
+    return windowed(roll_up(rows, rollup, options), metric_type, rollup.agg_types, policy, options, delay, aligned=True)
+
+
 def distinct_sources(forwarded: DataFrame, keys: list[str], delay_s: int) -> DataFrame:
     """The first batch of each source and window, with state that goes when the watermark passes."""
     return with_time(forwarded).withWatermark("ts", f"{delay_s} seconds").dropDuplicatesWithinWatermark(keys).drop("ts")

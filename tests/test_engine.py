@@ -36,7 +36,7 @@ def test_one_to_hundred(spark, kind):
 
 def test_batch_timer_defaults(spark):
     batch = spark.createDataFrame([("timer", "t", None, [1.0, 3.5, 2.2, 6.5, 4.8], None, 5 * NS, 5 * NS, 0), ("timer", "t", None, [], None, 5 * NS, 5 * NS, 1)], "type string, id string, counter bigint, timer array<double>, gauge double, ts_nanos bigint, arrival_nanos bigint, seq bigint")
-    out = A.untimed(S.values_of(batch), "timer", (), R.policies("10s:2d")).collect()
+    out = A.untimed(S.values_of(batch), "timer", (), R.policies("10s:2d"), R.Options(exact_quantiles=True)).collect()
     got = {r.metric_id: r.value for r in out}
     assert got["stats.timers.t.sum"] == 18.0 and got["stats.timers.t.sum_sq"] == pytest.approx(83.38) and got["stats.timers.t.stdev"] == pytest.approx(2.15522620622523)
     assert got["stats.timers.t.median"] == got["stats.timers.t.p50"] == 3.5 and got["stats.timers.t.p95"] == got["stats.timers.t.p99"] == 6.5

@@ -30,13 +30,6 @@ def test_pipelines():
             R.parse_pipeline(bad)
 
 
-def test_keys_are_unique_and_have_defaults():
-    meta = R.StagedMetadata(pipelines=(R.PipelineMetadata(), R.PipelineMetadata(policies=R.policies("1m:40d", "1h:1d"))))
-    assert [k.policy for k in R.aggregation_keys(meta)] == list(R.policies("10s:2d", "1m:40d", "1h:1d"))
-    a, b = R.aggregation_keys(meta)[:2]
-    assert a.canonical() != b.canonical()
-
-
 def test_shards():
     assert [sharding.murmur3_32(x) % 1024 for x in (b"foo", b"bar", b"baz")] == [32, 397, 234]
     assert [sharding.murmur3_32(x) % 1024 for x in (b"bar", b"foobar", b"barbaz", b"foobarbaz")] == [397, 189, 350, 950]
@@ -50,4 +43,25 @@ def test_config_arithmetic():
     assert R.per_shard_limit(1000, 16, 2) == 32 and R.per_shard_limit(1, 16, 2) == 1
     buckets = [R.JitterBucket(60, 1.0), R.JitterBucket(600, 0.5), R.JitterBucket(3600, 0.25)]
     assert [R.max_jitter_s(s, buckets) for s in (1, 60, 600, 3600, 7200)] == [1.0, 60.0, 300.0, 900.0, 1800.0]
-    assert R.Options(max_single_delay_s=5).max_forwarding_delay_s(10, 2) == 10 and R.Options().max_forwarding_delay_s(10, 2) == 20
+    assert R.Options().max_forwarding_delay_s(10, 2) == 20
+    for eps in (0, 0.5, -1):
+        with pytest.raises(R.RuleError):
+            R.Options(quantile_eps=eps)
+
+
+@pytest.mark.parametrize("jitter, want", [(True, [6, 16, 10, 20, 155, 165]), (False, [6, 16, 15, 25, 605, 615])])
+def test_forwarding_delay_is_the_first_jitter_and_each_hop(jitter, want):
+    buckets = (R.JitterBucket(1, 1.0), R.JitterBucket(60, 0.5), R.JitterBucket(3600, 0.25))
+    o = R.Options(max_single_delay_s=5, jitter=buckets if jitter else None)
+    assert [o.max_forwarding_delay_s(r, hops) for r in (1, 10, 600) for hops in (1, 3)] == want
+
+
+def test_limits_change_while_running():
+    limits, seen = R.RuntimeLimits(), []
+    limits.watch(lambda x: seen.append((x.values_per_second, x.new_series_per_second)))
+    limits.update(values_per_second=5)
+    limits.update(new_series_per_second=7, warm_up_s=1)
+    assert seen == [(0, 0), (5, 0), (5, 7)]
+    for bad in ({"nope": 1}, {"warm_up_s": -1}):
+        with pytest.raises(R.RuleError):
+            limits.update(**bad)
