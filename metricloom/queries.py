@@ -412,13 +412,32 @@ def same_id_multi_type(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- shards and sketches ----
 
-@query("shard_route")
+def murmur3_sql(text: str) -> str:
+    """32-bit murmur3 of an ASCII text, in DuckDB."""
+    m = 2**32
+    let = lambda x, v, body: f"list_transform([{x}], lambda {v}: {body})[1]"
+    mul = lambda x, c: f"CAST(CAST({x} AS HUGEINT) * {c} % {m} AS BIGINT)"
+    rotate = lambda x, r: let(x, f"r{r}", f"(r{r} * {2**r}) % {m} + r{r} // {2 ** (32 - r)}")
+    mixed = lambda k: mul(rotate(mul(k, 0xCC9E2D51), 15), 0x1B873593)
+    code = lambda i: f"CAST(coalesce(ascii(nullif(substr({text}, {i}, 1), '')), 0) AS BIGINT)"
+    word = lambda j: " + ".join(f"{code(f'4 * {j} + {b + 1}')} * {256**b}" for b in range(4))
+    blocks = f"list_prepend(CAST(0 AS BIGINT), list_transform(range(0, length({text}) // 4), lambda j: {mixed(word('j'))}))"
+    body = f"list_reduce({blocks}, lambda h, k: ({rotate('xor(h, k)', 13)} * 5 + {0xE6546B64}) % {m})"
+    with_tail = f"xor(xor({body}, {mixed(word(f'(length({text}) // 4)'))}), length({text}))"
+    shifted = lambda x, r, v: let(x, v, f"xor({v}, {v} // {2**r})")
+    return shifted(mul(shifted(mul(shifted(with_tail, 16, "a"), 0x85EBCA6B), 13, "b"), 0xC2B2AE35), 16, "c")
+
+
+_SHARDS = f"SELECT id, CAST({murmur3_sql('id')} % {SHARDS} AS INTEGER) AS shard, CAST({murmur3_sql('name')} % {SHARDS} AS INTEGER) AS output_shard FROM (SELECT DISTINCT 'user.' || user_id AS id, 'stats.gauges.user.' || user_id AS name FROM events)"
+
+
+@query("shard_route", _SHARDS)
 def shard_route(spark: SparkSession, d: str) -> DataFrame:
     ids = S.event_gauges(spark, d).select("id").distinct()
     return ids.select("id", sharding.shard(F.col("id"), SHARDS).alias("shard"), sharding.aggregated_shard(F.lit("stats.gauges."), F.col("id"), F.lit(""), SHARDS).alias("output_shard"))
 
 
-@query("shard_filter")
+@query("shard_filter", f"SELECT * FROM ({_SHARDS}) WHERE shard <= 63")
 def shard_filter(spark: SparkSession, d: str) -> DataFrame:
     return shard_route(spark, d).where(F.col("shard").isin(*sharding.shard_set("0..63")))
 
@@ -430,8 +449,34 @@ def tdigest_quantile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("approximate_quantile")
 def approximate_quantile(spark: SparkSession, d: str) -> DataFrame:
-    options = R.Options(exact_quantiles=False)
-    return A.untimed(S.shipping_timers(spark, d), R.TIMER, ("Median", "P95", "P99"), R.policies("30d:400d"), options)
+    return A.untimed(S.shipping_timers(spark, d), R.TIMER, ("Median", "P95", "P99"), R.policies("30d:400d"))
+
+
+def within_rank(found: DataFrame, values: DataFrame, keys: list[str], error: float) -> DataFrame:
+    """``found`` (keys, agg_type, value) with ``within``: whether the value's rank among ``values`` (keys, v) is off by ``error`` of them at most."""
+    q = F.element_at(F.create_map(*[F.lit(x) for p in R.QUANTILES.items() for x in p]), F.col("agg_type"))
+    ranked = found.withColumn("q", q).join(values, keys).groupBy(*keys, "agg_type", "q").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    return ranked.select(*keys, "agg_type", ((F.col("below") <= (F.col("q") + error) * F.col("n")) & (F.col("upto") >= (F.col("q") - error) * F.col("n"))).alias("within"))
+
+
+_BOUNDED = "SELECT DISTINCT id, CAST(w AS BIGINT) AS window_nanos, agg_type, true AS within FROM ({rows})"
+
+
+@query("sketch_rank_error", _BOUNDED.format(rows=windows_sql(SOURCES["T"], ("Median", "P95", "P99"), R.policies("30d:400d"))))
+def sketch_rank_error(spark: SparkSession, d: str) -> DataFrame:
+    """Every quantile of the default sketch has the rank it should have, but for a thousandth."""
+    timers, policy = S.shipping_timers(spark, d), R.policies("30d:400d")
+    found = A.aggregate(timers, R.TIMER, ("Median", "P95", "P99"), policy).select("id", "window_nanos", "agg_type", "value")
+    return within_rank(found, A.in_windows(A.fan_out(timers, policy)).select("id", "window_nanos", F.col("value").alias("v")), ["id", "window_nanos"], 1e-3)
+
+
+@query("tdigest_rank_error", "SELECT DISTINCT 'ship.' || l_returnflag AS id, unnest(['Median', 'P95', 'P99']) AS agg_type, true AS within FROM lineitem")
+def tdigest_rank_error(spark: SparkSession, d: str) -> DataFrame:
+    """The same for t-digests, within a hundredth."""
+    timers = S.shipping_timers(spark, d)
+    found = tdigest.quantiles(timers, ["id"], "value", {"Median": 0.5, "P95": 0.95, "P99": 0.99}).unpivot("id", ["Median", "P95", "P99"], "agg_type", "value")
+    return within_rank(found, timers.select("id", F.col("value").alias("v")), ["id"], 1e-2)
 
 
 @query("message_dispatch", "SELECT CASE event_id % 4 WHEN 0 THEN 'counter' WHEN 1 THEN 'timer' WHEN 2 THEN 'gauge' END AS type, CASE WHEN event_id % 4 = 3 THEN 'unknown_message_type' END AS reject, count(*) AS n FROM events GROUP BY 1, 2")
