@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it has kept, and works on
 all of it. All but the last return the columns of ``documents``; ``run`` writes each stage's result to
 the folder that the cluster shares and reads it again.
+
+Defined results: null and empty texts are kept by all stages and end without ids; rows with a null
+doc_id go the way of all others; of rows that repeat an id and text, one stays (all, if they are without
+words); of linked texts the one with the smallest id stays, then the one with the smallest key; very long
+texts are worked on whole; documents may have other columns, whatever their names: they are left out;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -59,7 +65,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL cannot express the trained stages. tests/llm holds operators against brute force; no test runs the pipeline.
+#: SQL cannot express the trained stages. tests/llm/test_queries.py holds every stage and run() against plain Python on a small fixture.
 ORACLE_SQL = None
 
 

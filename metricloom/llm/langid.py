@@ -10,7 +10,8 @@ a parameter); labels are given to every word of every text.
 
 Defined results: a text that is null, empty or without letters has no spans and the language ``und``
 with score 0; so has every text if no language could be learned. Ties go to the language first in
-the alphabet.
+the alphabet. Very long texts are labelled whole; repeated rows get equal results, one for each; an empty
+table gives an empty result; columns with the names of new ones are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import crc_mod, one_row_each, picked
+from .common import crc_mod, one_row_each, picked, slices
 
 SAMPLE_ROWS = 4000
 BITS = 16
@@ -203,8 +204,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return train([(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id, r.lang, r.text))])
 
 
-def label(docs: DataFrame, model: Model, price: float = SWITCH_PRICE, text: str = "text", spans: bool = True) -> DataFrame:
-    """``docs`` with lang_pred, score and lang_spans.
+def label(docs: DataFrame, model: Model, price: float = SWITCH_PRICE, text: str = "text", spans: bool = True, with_text: bool = True) -> DataFrame:
+    """``docs`` (without the texts, if they are not to travel back) with lang_pred, score and lang_spans.
 
     ``lang_spans`` lists (start, end, lang) over code points, one for each run of words with one
     label. ``lang_pred`` is the language with most letters, ``score`` its share of all letters. Columns
@@ -214,11 +215,15 @@ def label(docs: DataFrame, model: Model, price: float = SWITCH_PRICE, text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # an array of a fixed size for each language
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
+    at = keep.columns.index(text)
+    places = [i for i in range(len(keep.columns)) if with_text or i != at]
+    titles = [keep.columns[i] for i in places] + ["lang_pred", "score"] + ["lang_spans"] * spans
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = model.languages
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+        for batch in slices(batches, at):
+            column = batch.column(at)
             out: list[tuple[str, float, list]] = [(UNKNOWN, 0.0, [])] * len(column)
             if names:
                 for lo, _, data, offsets in K.chunks(column):
@@ -238,9 +243,9 @@ def label(docs: DataFrame, model: Model, price: float = SWITCH_PRICE, text: str
             made = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
             if spans:
                 made.append(pa.array([x[2] for x in out], span))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "lang_pred", "score", *["lang_spans"] * spans])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], *made], names=titles)
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + ["lang_pred string", "score double"]
+    schema = [f"`{keep.schema[i].name}` {keep.schema[i].dataType.simpleString()}" for i in places] + ["lang_pred string", "score double"]
     if spans:
         schema.append("lang_spans array<struct<start:int,end:int,lang:string>>")
     return keep.mapInArrow(run, ", ".join(schema))

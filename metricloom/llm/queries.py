@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage: each applies one operator to its whole table."""
+"""The registered queries of this subpackage: each applies one operator to its whole table.
+
+Defined results are those of the operators: every row of the table has its row in the result, nulls,
+repeats and empty texts among them, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -39,8 +43,8 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    labelled = langid.label(docs.select("doc_id", "text"), langid.fit(docs), spans=False)
-    return labelled.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    labelled = langid.label(docs.select("doc_id", "text"), langid.fit(docs), with_text=False)
+    return labelled.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
