@@ -34,7 +34,7 @@ from .common import slices
 #: Fixed value: how byte-level BPE splits text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_CHARS = 100
-KEPT_BYTES = 48 << 20  # of each of two generations
+KEPT_BYTES = 80 << 20  # of each of two generations
 KEPT_PAIRS = 400_000
 _ENTRY = 260  # bytes of an entry beside its characters
 
@@ -132,7 +132,7 @@ class ByteBpe:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece (what the split pattern or the caller sees as a unit)."""
-        data = piece.encode().decode("latin-1")
+        data = piece if piece.isascii() else piece.encode().decode("latin-1")
         sizes, pairs, compatible = self.sizes, self.pairs, self.compatible
         last = [-1] * (len(data) + 1)  # by prefix: the last token of its encoding
         done = -1
@@ -142,11 +142,9 @@ class ByteBpe:
             start = end + 1 - sizes[token]
             if start:
                 before = last[start]
-                if before < 0:
-                    continue
-                fine = pairs.get(before << 20 | token)
+                fine = pairs.get(before << 20 | token)  # before is -1, and the key below 0, where no prefix ends
                 if fine is None:
-                    fine = compatible(before, token)
+                    fine = before >= 0 and compatible(before, token)
                 if not fine:
                     continue
             last[end + 1] = token
