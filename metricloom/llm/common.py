@@ -37,8 +37,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: this cuts the lineage at files that survive a lost executor.
 
-    Results that are still read stand on these files, so they stay until the session's owner clears
-    the folder; :func:`discard` takes away those that nothing reads any more.
+    What a result still reads has to stay until its reader is done, so the last tables of an operator are
+    left to whoever clears the folder; :func:`discard` takes away those that nothing reads any more.
     """
     spark = df.sparkSession
     path = scratch(spark, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -13,7 +13,9 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
     Each round every node takes the smallest label among its own and its neighbours', then the label
     of its label. Labels are pre-aggregated before they are shuffled, so a node with many links is no
-    hot key; the joins' other sides have one row for each node. Rounds are cut at written tables.
+    hot key; the joins' other sides have one row for each node. Rounds are cut at written tables, which
+    go when the next round is written. The number of rounds grows with the logarithm of the longest
+    chain of links; more than ``rounds`` is an error. No edges give no rows.
     """
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").toDF("src", "dst"), "links")
     labels = stash(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("label")), "labels")
@@ -22,7 +24,9 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         step = stash(labels.join(near, F.col("node") == F.col("dst"), "left").select("node", F.least("label", F.coalesce("seen", "label")).alias("next"), F.col("label").alias("was")), "step")
         jump = step.select(F.col("node").alias("n2"), F.col("next").alias("far"))
         new = stash(step.join(jump, F.col("next") == F.col("n2")).select("node", F.col("far").alias("label"), (F.col("far") != F.col("was")).alias("moved")), "labels")
+        discard(labels, step)
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"labels still move after {rounds} rounds")

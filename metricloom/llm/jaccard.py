@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import fresh, row_key, slices, stash
+from .common import discard, fresh, row_key, slices, stash
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -434,6 +434,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     final = stash(
         classes.select("sid", "doc_id").join(known, "sid", "left")
         .select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "sid").alias("group")), "components")
+    discard(classes, met, sizes, left, labels)
     return own.join(final, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         *(["key", "group"] if keyed else []))

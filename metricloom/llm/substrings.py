@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import row_key, slices, stash
+from .common import discard, row_key, slices, stash
 
 WINDOW_WORDS = 35
 MINIMISER_WORDS = 8
@@ -230,7 +230,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     found = stash(rows.join(several, "minimiser"), "superkmers")  # no aggregate behind the join, so that Spark can split a hot minimiser
 
     distinct = stash(found.where("NOT equal").groupBy("minimiser", "name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")), "distinct")
-    many = distinct.groupBy("minimiser").agg((F.count(F.lit(1)) > SPLIT_ABOVE).alias("split")).where("split")
+    # written, so that Spark can split a hot minimiser in the join with it
+    many = stash(distinct.groupBy("minimiser").agg((F.count(F.lit(1)) > SPLIT_ABOVE).alias("split")).where("split"), "many")
     asked = (
         distinct.join(many, "minimiser", "left")
         .groupBy("key").agg(F.collect_list(F.struct("name", "n", F.coalesce("split", F.lit(False)).alias("split"))).alias("asked"))
@@ -248,4 +249,5 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
         .groupBy("key").agg(F.collect_set(F.struct("place", "mask")).alias("marks"))  # rows that repeat an id and text have one key, and are marked once
     )
     marks = stash(marks, "marks")
+    discard(several, found, distinct, many, made, again, masks)
     return _kept(slim.join(marks, "key", "left").select("doc_id", "text", "marks"), window, texts)
