@@ -5,7 +5,9 @@ of the raw corpus is counted, and over all trusted ones (those labelled good) th
 one threshold decides on every document. Texts are shuffled once, to meet the ids labelled good; counts
 are aggregated by bucket before they move, and what scoring needs is one array of a fixed size.
 
-Defined results: a null or empty text has no words, fails the base rules and is not kept; without
+Defined results: a null or empty text has no words, fails the base rules and is not kept; very long
+texts are read whole; other columns, whatever their names, are left out; an empty table gives an empty
+result, judged by whatever weights; without
 trusted documents the ratio is that of the smoothed target and still the same for every run; ties at
 the threshold are kept; rows that repeat are counted and judged one by one.
 """
@@ -31,25 +33,29 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def grams(w: Column) -> Column:
-    """Buckets of the words and of the pairs of neighbouring words."""
-    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")
-    ones = F.transform(w, lambda x: bucket(F.xxhash64(x)))
+def hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def grams(w: Column, h: Column) -> Column:
+    """Buckets of the words (whose hashes are ``h``) and of the pairs of neighbouring words."""
+    bucket = lambda x: x.bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")
+    ones = F.transform(h, bucket)
     twos = F.transform(F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>")), lambda i: bucket(F.xxhash64(w[i - 1], w[i])))
     return F.concat(ones, twos)
 
 
-def repeat_words(w: Column) -> Column:
-    """How many words are in windows of three words that are found twice or more in the text."""
-    places = F.when(F.size(w) > 2, F.sequence(F.lit(2), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(places, lambda i: F.xxhash64(w[i - 2], w[i - 1], w[i]))
+def repeat_words(h: Column) -> Column:
+    """How many words (given by their hashes) are in windows of three words that are found twice or more in the text."""
+    places = F.when(F.size(h) > 2, F.sequence(F.lit(2), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(places, lambda i: F.xxhash64(h[i - 2], h[i - 1], h[i]))
 
     def twice(o: Column) -> Column:  # hashes with their places, sorted: equal neighbours are there twice or more
         again = F.filter(o, lambda e, k: ((k > 0) & (F.get(o, k - 1)["x"] == e["x"])) | F.coalesce(F.get(o, k + 1)["x"] == e["x"], F.lit(False)))
         return let(F.array_sort(F.transform(again, lambda e: e["i"])), lambda at: F.aggregate(
             F.transform(at, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x))
 
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
+    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
         let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), twice)))
 
 
@@ -62,7 +68,7 @@ def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
     good = texts.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
 
     def counts(rows: DataFrame, name: str) -> DataFrame:
-        return stash(rows.select(F.explode(let(words(F.col("text")), grams)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name)), name)
+        return stash(rows.select(F.explode(let(words(F.col("text")), lambda w: grams(w, hashes(w)))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name)), name)
 
     every = (
         spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -85,9 +91,9 @@ def judge(documents: DataFrame, model: DataFrame, threshold: float = THRESHOLD)
         (F.char_length(F.translate(text, SPACE_CHARS, ""))).cast("bigint").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        let(words(F.col("text")), lambda w: F.struct(
-            F.size(w).cast("bigint").alias("n_words"), repeat_words(w).cast("bigint").alias("n_repeat_words"),
-            (F.aggregate(grams(w), F.lit(0.0), lambda a, b: a + weights[b]) / F.greatest(F.lit(1), 2 * F.size(w) - 1)).alias("llr"))).alias("x"),
+        let(words(F.col("text")), lambda w: let(hashes(w), lambda h: F.struct(
+            F.size(w).cast("bigint").alias("n_words"), repeat_words(h).cast("bigint").alias("n_repeat_words"),
+            (F.aggregate(grams(w, h), F.lit(0.0), lambda a, b: a + weights[b]) / F.greatest(F.lit(1), 2 * F.size(w) - 1)).alias("llr")))).alias("x"),
     ).select("doc_id", "text", "x.n_words", "word_chars", "n_symbols", "n_dup_lines", "x.n_repeat_words", "x.llr")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
