@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -101,6 +101,22 @@ def flushed_locally(out_ts: Column, cutover: Column | int, cutoff: Column | int)
     return (out_ts > cutover) & (out_ts <= cutoff)
 
 
+def flush_action(out_ts: Column, target: int, cutover: Column | int, cutoff: Column | int, buffer_nanos: int) -> Column:
+    """What a flush up to ``target`` does with the window that is written at ``out_ts``.
+
+    ``discard`` up to the shard's cutover (0: it has none), ``consume`` up to its cutoff; behind that,
+    ``retain`` for ``buffer_nanos``, in case the shard comes back, and ``discard`` after. Windows that end
+    behind the target are still open and are retained.
+    """
+    return F.when(out_ts > target, "retain").when((F.lit(0) < cutover) & (out_ts <= cutover), "discard").when(out_ts <= cutoff, "consume").when(
+        out_ts <= target - buffer_nanos, "discard").otherwise("retain")
+
+
+def owned(samples: DataFrame, shard: Column, shards: Iterable[int]) -> tuple[DataFrame, DataFrame]:
+    """Samples whose shard is one of those that are owned here, and the others."""
+    return split(samples, F.when(~F.coalesce(shard.isin(*sorted(shards)), F.lit(False)), "shard_not_owned"))
+
+
 def flushed_forwarded(out_ts: Column, cutover: Column | int, cutoff: Column | int) -> Column:
     return (out_ts >= cutover) & (out_ts < cutoff)
 

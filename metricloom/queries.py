@@ -207,6 +207,17 @@ def flush_range(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.named(rows.where(admission.flushed_locally(F.col("window_nanos"), F.lit(T0 + 5 * 86400 * NANOS), F.lit(T0 + 20 * 86400 * NANOS))), R.COUNTER))
 
 
+_ENDS, _TARGET, _KEEP = (T0 + 5 * 86400 * NANOS, T0 + 15 * 86400 * NANOS), T0 + 25 * 86400 * NANOS, 4 * 86400 * NANOS
+
+
+@query("flush_actions", f"""SELECT id, CAST(w AS BIGINT) AS window_nanos, CASE WHEN w > {_TARGET} THEN 'retain' WHEN w <= {_ENDS[0]} THEN 'discard' WHEN w <= {_ENDS[1]} THEN 'consume'
+    WHEN w <= {_TARGET - _KEEP} THEN 'discard' ELSE 'retain' END AS action FROM ({_DAILY})""")
+def flush_actions(spark: SparkSession, d: str) -> DataFrame:
+    """A shard that is given up: what comes behind the cutoff is kept for four days."""
+    rows = A.aggregate(S.event_counters(spark, d), R.COUNTER, policies=R.policies("1d:40d"))
+    return rows.select("id", "window_nanos", admission.flush_action(F.col("window_nanos"), _TARGET, *_ENDS, _KEEP).alias("action"))
+
+
 @query("entry_expiry", f"SELECT id, max(t) AS last_nanos FROM ({SOURCES['G']}) GROUP BY id HAVING {T0 + 31 * 86400 * NANOS} > max(t) + 86400 * {NS}")
 def entry_expiry(spark: SparkSession, d: str) -> DataFrame:
     last = S.event_gauges(spark, d).groupBy("id").agg(F.max("arrival_nanos").alias("last_nanos"))

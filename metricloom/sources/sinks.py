@@ -45,6 +45,13 @@ def _log_rows(part: Iterable[Row], batch: int) -> None:
         log.info("batch %s: %s", batch, row)
 
 
+def with_encode_time(df: DataFrame, rate: float) -> DataFrame:
+    """``encoded_nanos``: the time of writing for a random part (``rate``, 0 to 1) of the rows, else null; consumers measure their lag by it."""
+    if not 0 <= rate <= 1:
+        raise SinkConfigError(f"a rate between 0 and 1: {rate}")
+    return df.withColumn("encoded_nanos", F.when(F.rand() < rate, F.unix_micros(F.current_timestamp()) * 1000))
+
+
 def with_shard(df: DataFrame, shards: int) -> DataFrame:
     return df.withColumn("shard", shard(F.col("metric_id"), shards))
 

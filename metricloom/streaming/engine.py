@@ -54,16 +54,36 @@ def windowed(samples: DataFrame, metric_type: str, agg_types: tuple[str, ...], p
 _SAMPLE = "type string, id string, value double, ts_nanos bigint, arrival_nanos bigint, seq bigint"
 
 
-def by_newest_metadata(samples: DataFrame, metas: str = "metas") -> DataFrame:
+def _timeout(ttl_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _idle(state: GroupState) -> bool:
+    """Whether the call is for a series that has been idle for too long, which is then forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    return False
+
+
+def _seen(state: GroupState, ttl_ms: int | None) -> None:
+    if ttl_ms is not None:
+        state.setTimeoutDuration(ttl_ms)
+
+
+def by_newest_metadata(samples: DataFrame, metas: str = "metas", ttl_ms: int | None = None) -> DataFrame:
     """The streaming form of ``operators.admission.resolve_metadata``: samples with ``meta`` as JSON; rejects and tombstoned ones are left out.
 
-    What a series keeps is its newest metadata; samples of one micro-batch go in order of arrival.
+    What a series keeps is its newest metadata; samples of one micro-batch go in order of arrival. After
+    ``ttl_ms`` without a sample (if set) the series is forgotten, its metadata too.
     """
     own = active_metadata(F.col(metas), F.col("arrival_nanos"))
     good = samples.withColumn("own", own).where("own IS NOT NULL AND (own.tombstoned OR size(own.pipelines) > 0)")
     slim = good.select("type", "id", "value", "ts_nanos", "arrival_nanos", "seq", F.col("own.cutover_nanos").alias("cutover"), F.col("own.tombstoned").alias("tombstoned"), F.to_json("own").alias("meta"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state):
+            return
         rows = pd.concat(list(frames)).sort_values(["arrival_nanos", "seq"])
         newest, meta = state.get if state.exists else (None, None)
         metas = []
@@ -72,21 +92,23 @@ def by_newest_metadata(samples: DataFrame, metas: str = "metas") -> DataFrame:
                 newest, meta = int(cutover), own
             metas.append(meta)
         state.update((newest, meta))
+        _seen(state, ttl_ms)
         rows["meta"] = metas
         yield rows[~rows["tombstoned"]][["type", "id", "value", "ts_nanos", "arrival_nanos", "seq", "meta"]]
 
-    return slim.groupBy("type", "id").applyInPandasWithState(step, _SAMPLE + ", meta string", "cutover bigint, meta string", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("type", "id").applyInPandasWithState(step, _SAMPLE + ", meta string", "cutover bigint, meta string", "append", _timeout(ttl_ms))
 
 
-def value_rate_limit(samples: DataFrame, limits: RuntimeLimits) -> DataFrame:
-    """The streaming form of ``operators.admission.value_rate_limit``: the samples that are taken.
+def value_usage(samples: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Samples with ``used``, how many values their series and second have had with them.
 
-    What a series keeps is its last second and what that has used. Samples of a second that is over are
-    held against nothing but each other. The limit is the one that holds when the query starts.
+    What a series keeps is its last second and what that has used, until ``ttl_ms`` without a sample (if
+    set). Samples of a second that is over are held against nothing but each other.
     """
-    limit = limits.values_per_second
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state):
+            return
         rows = pd.concat(list(frames)).sort_values(["arrival_nanos", "seq"])
         second = rows["arrival_nanos"] // NANOS
         used = rows.groupby(second).cumcount() + 1
@@ -95,10 +117,27 @@ def value_rate_limit(samples: DataFrame, limits: RuntimeLimits) -> DataFrame:
             used = used + (second == last) * before
         last = int(second.iloc[-1])
         state.update((last, int(used[second == last].max())))
-        yield rows[used <= limit] if limit else rows
+        _seen(state, ttl_ms)
+        yield rows.assign(used=used)
 
     slim = samples.select("type", "id", "value", "ts_nanos", "arrival_nanos", "seq")
-    return slim.groupBy("type", "id").applyInPandasWithState(step, _SAMPLE, "second bigint, used bigint", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("type", "id").applyInPandasWithState(step, _SAMPLE + ", used bigint", "second bigint, used bigint", "append", _timeout(ttl_ms))
+
+
+def value_rate_limit(samples: DataFrame, limits: RuntimeLimits, ttl_ms: int | None = None) -> DataFrame:
+    """The streaming form of ``operators.admission.value_rate_limit``: the samples that are taken under the limit that holds when the query starts."""
+    limit, rows = limits.values_per_second, value_usage(samples, ttl_ms)
+    return (rows.where(F.col("used") <= limit) if limit else rows).drop("used")
+
+
+def under(limits: RuntimeLimits, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A sink for :func:`value_usage`: a batch is admitted under the limit that holds when it begins."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        limit = limits.values_per_second
+        sink((df.where(F.col("used") <= limit) if limit else df).drop("used"), batch)
+
+    return write
 
 
 def admitted(samples: DataFrame, resolution_s: int, options: Options = Options(), forwarded: bool = False) -> DataFrame:
@@ -135,8 +174,7 @@ def rates(rows: DataFrame, options: Options = Options(), ttl_ms: int | None = No
     keep_resets = options.keep_resets
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        if _idle(state):
             return
         rows = pd.concat(list(frames)).sort_values("window_nanos")
         at, before = state.get if state.exists else (None, None)
@@ -146,15 +184,13 @@ def rates(rows: DataFrame, options: Options = Options(), ttl_ms: int | None = No
             out.append(float("nan") if rate < 0 and not keep_resets else rate)
             at, before = int(now), float(value)
         state.update((at, before))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
+        _seen(state, ttl_ms)
         made = pd.DataFrame([key] * len(rows), columns=_RATE_KEYS)
         made["window_nanos"], made["value"] = rows["window_nanos"].to_numpy(), out
         yield made
 
-    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     slim = rows.select(*_RATE_KEYS, "window_nanos", "value")
-    made = slim.groupBy(*_RATE_KEYS).applyInPandasWithState(step, _RATE_SCHEMA, "at bigint, value double", "append", timeout)
+    made = slim.groupBy(*_RATE_KEYS).applyInPandasWithState(step, _RATE_SCHEMA, "at bigint, value double", "append", _timeout(ttl_ms))
     return made.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # pandas hands NaN on as null
 
 
@@ -179,6 +215,14 @@ class Engine:
     def status(self) -> dict[str, dict]:
         return {name: {"active": q.isActive, "status": q.status, "progress": q.lastProgress} for name, q in self.queries.items()}
 
+    def tick(self) -> dict[str, dict[str, int]]:
+        """How many series and windows each query holds after its last batch, how many that batch let go, and the bytes they take."""
+        out = {}
+        for name, q in self.queries.items():
+            held = (q.lastProgress or {}).get("stateOperators") or []
+            out[name] = {k: sum(int(s.get(source) or 0) for s in held) for k, source in (("active", "numRowsTotal"), ("expired", "numRowsRemoved"), ("bytes", "memoryUsedBytes"))}
+        return out
+
     def healthy(self) -> bool:
         return not self.closed and all(q.exception() is None for q in self.queries.values())
 
