@@ -64,16 +64,12 @@ def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    # a shuffled join at every size: the ids labelled good grow with the documents
-    good = texts.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
-
-    def counts(rows: DataFrame, name: str) -> DataFrame:
-        return stash(rows.select(F.explode(let(words(F.col("text")), lambda w: grams(w, hashes(w)))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name)), name)
-
-    every = (
-        spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-        .join(counts(texts, "raw"), "bucket", "left").join(counts(good, "target"), "bucket", "left")
-    )
+    # a shuffled join at every size: the ids labelled good grow with the documents; rows without an id stay out of it
+    marked = texts.where("doc_id IS NOT NULL").join(trusted.withColumn("good", F.lit(1)).hint("shuffle_hash"), "doc_id", "left").select("text", "good")
+    marked = marked.unionByName(texts.where("doc_id IS NULL").select("text", F.lit(None).cast("int").alias("good")))
+    each = marked.select("good", F.explode(let(words(F.col("text")), lambda w: grams(w, hashes(w)))).alias("bucket"))
+    counts = stash(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")), "counts")
+    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     filled = every.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     one = filled.agg(
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
