@@ -1,4 +1,7 @@
 import json
+import signal
+import subprocess
+import sys
 import time
 
 import pytest
@@ -174,3 +177,20 @@ def test_idle_series_are_forgotten_and_limits_change(spark, tmp_path):
     assert until(lambda: engine.tick()["used"]["active"] == 1)
     assert set(engine.tick()["meta"]) == {"active", "expired", "bytes"}
     engine.close()
+
+
+def test_process_stops_on_a_signal(tmp_path):
+    (tmp_path / "in").mkdir()
+    config = {"source": str(tmp_path / "in"), "checkpoint": str(tmp_path / "check"), "policies": ["10s:2d"], "sink": {"type": "blackhole"}}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    p = subprocess.Popen([sys.executable, "-m", "metricloom.app", str(tmp_path / "c.json")], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    try:
+        end = time.time() + 90
+        while len(list((tmp_path / "check").glob("*/metadata"))) < 3 and time.time() < end and p.poll() is None:
+            time.sleep(0.5)
+        time.sleep(3)
+        assert p.poll() is None
+        p.send_signal(signal.SIGTERM)
+        assert p.wait(60) == 0
+    finally:
+        p.kill()
