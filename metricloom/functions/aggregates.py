@@ -46,7 +46,8 @@ def quantiles(agg_types: tuple[str, ...], value: Column, options: Options = Opti
     """One aggregate (named ``ranked``) for all quantiles among ``agg_types``, and how each is read from it.
 
     A quantile is the value of rank ceil(q n). By default the aggregate is a mergeable sketch with rank
-    error ``quantile_eps``; exact ones sort all values of a group, once for all quantiles.
+    error ``quantile_eps``; exact ones sort all values of a group, once for all quantiles. Spark's sketch of
+    accuracy a may be off by n / a + 1/2 ranks, and by none if n < a / 2, so 2 / ``quantile_eps`` keeps the bound at every n.
     """
     wanted = [t for t in agg_types if t in QUANTILES]
     if not wanted:
@@ -55,7 +56,7 @@ def quantiles(agg_types: tuple[str, ...], value: Column, options: Options = Opti
     if options.exact_quantiles:
         rank = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.size(ranked)).cast("int"))
         return F.sort_array(F.collect_list(value)).alias("ranked"), {t: F.try_element_at(ranked, rank(QUANTILES[t])).cast("double") for t in wanted}
-    sketch = F.percentile_approx(value, [QUANTILES[t] for t in wanted], math.ceil(1 / options.quantile_eps))
+    sketch = F.percentile_approx(value, [QUANTILES[t] for t in wanted], math.ceil(2 / options.quantile_eps))
     return sketch.alias("ranked"), {t: ranked[i].cast("double") for i, t in enumerate(wanted)}
 
 

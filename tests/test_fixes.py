@@ -69,6 +69,16 @@ def test_the_sketch_is_the_default_and_close(spark):
         assert abs(order.index(rough[t]) - q * 20000) <= 20000 * 1e-3 + 1
 
 
+def test_the_sketch_keeps_its_bound_at_every_size(spark):
+    sizes = spark.createDataFrame([(f"t{n}", n) for n in [*range(990, 1030), *range(1030, 6000, 97), 60500, 70500]], "id string, n bigint")
+    v = F.explode(F.expr("sequence(0L, n - 1)"))
+    df = sizes.select(F.lit("timer").alias("type"), "id", v.alias("i"), "n").select("type", "id", F.expr("CAST(i * 1000003 % n AS DOUBLE)").alias("value"), *[F.lit(NS).alias(c) for c in ("ts_nanos", "arrival_nanos")], F.col("i").alias("seq"))
+    for parts in (1, 3):
+        for r in A.aggregate(df.repartition(parts), "timer", ("Median", "P95", "P99"), R.policies("10s:2d")).collect():
+            n, q = int(r.id[1:]), {"Median": 500, "P95": 950, "P99": 990}[r.agg_type]
+            assert 1000 * r.value <= (q + 1) * n and 1000 * (r.value + 1) >= (q - 1) * n, (r.id, r.agg_type, r.value)  # r.value values are below it
+
+
 def test_keys_of_metadata(spark):
     """Pipelines x policies, defaults filled in, each key once; invalid types make no rows."""
     P_ = R.PipelineMetadata
